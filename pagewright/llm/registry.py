@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from .bpe import op10_bpe
+from .chat import OP7_SQL, op7_chat
+from .secrets import OP1_SQL, op1_secrets
+from .simhash import op2_simhash
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
     return {
+        "op1_secrets": op1_secrets,
+        "op2_simhash": op2_simhash,
+        "op7_chat": op7_chat,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_secrets": OP1_SQL,
+        "op7_chat": OP7_SQL,
+    }
