@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 from .bpe import op10_bpe
 from .chat import OP7_SQL, op7_chat
+from .language import op4_language
+from .neighbours import op3_neighbours
 from .secrets import OP1_SQL, op1_secrets
 from .simhash import op2_simhash
 
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op2_simhash": op2_simhash,
+        "op3_neighbours": op3_neighbours,
+        "op4_language": op4_language,
         "op7_chat": op7_chat,
         "op10_bpe": op10_bpe,
     }
