@@ -10,8 +10,10 @@ from .bpe import op10_bpe
 from .chat import OP7_SQL, op7_chat
 from .language import op4_language
 from .neighbours import op3_neighbours
+from .quality import op8_quality
 from .secrets import OP1_SQL, op1_secrets
 from .simhash import op2_simhash
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -20,7 +22,9 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_neighbours": op3_neighbours,
         "op4_language": op4_language,
+        "op5_toxicity": op5_toxicity,
         "op7_chat": op7_chat,
+        "op8_quality": op8_quality,
         "op10_bpe": op10_bpe,
     }
 
