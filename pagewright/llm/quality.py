@@ -22,6 +22,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,24 +46,30 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     tokens = TOKENS(text)
     n = len(tokens) or 1
     counts = Counter(tokens)
-    shapes = {t: ("U" if t.isupper() and len(t) > 1 else "T" if t[0].isupper() else "l") if t[0].isalpha() else "0" if t[0].isdigit() else "s" for t in counts}
     kinds: dict[int, int] = {}
+    shapes, of, signs = {}, dict.fromkeys("UTl0s", 0), 0
     for token, times in counts.items():
-        bucket = _bucket(f"{shapes[token]} {token.lower()}")
+        first = token[0]
+        if first.isalpha():
+            shape = "l" if first.islower() else "U" if token.isupper() and len(token) > 1 else "T"
+        elif first.isdigit():
+            shape = "0"
+        else:
+            shape, signs = "s", signs + len(token) * times
+        shapes[token] = shape
+        of[shape] += times
+        bucket = crc32(token.encode()) >> 32 - BITS
         kinds[bucket] = kinds.get(bucket, 0) + times
-    order = list(map(shapes.__getitem__, tokens))
-    for (left, right), times in Counter(zip(order, order[1:], strict=False)).items():
-        bucket = _bucket(f"{left}{right}")
+    order = "".join(map(shapes.__getitem__, tokens))
+    for pair, times in Counter(map(add, order, order[1:])).items():
+        bucket = crc32(pair.encode(), 1) >> 32 - BITS
         kinds[bucket] = kinds.get(bucket, 0) + times
-    of = Counter()
-    for token, times in counts.items():
-        of[shapes[token]] += times
     lines = text.split("\n")
     chars = len(text) or 1
     surface = [
         of["U"] / n,
         of["s"] / n,
-        sum(len(t) * k for t, k in counts.items() if shapes[t] == "s") / chars,
+        signs / chars,
         1 - len(counts) / n,
         1 - len(set(lines)) / len(lines),
         of["0"] / n,
@@ -69,22 +77,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         0.0 if tokens else 1.0,
     ]
     buckets = np.array([*kinds, *range(1 << BITS, (1 << BITS) + SURFACE)], np.int64)
-    values = np.array([*(np.sqrt(c / n) for c in kinds.values()), *surface])
+    values = np.array([*kinds.values(), *surface], np.float64)
+    values[: len(kinds)] = np.sqrt(values[: len(kinds)] / n)
     return buckets, values
 
 
-def _bucket(key: str, made: dict[str, int] = {}) -> int:  # noqa: B006
-    """Stable hash of a feature's name, kept for the names met most."""
-    found = made.get(key)
-    if found is None:
-        import zlib
-
-        if len(made) > 100_000:
-            made.clear()
-        found = made[key] = zlib.crc32(key.encode()) >> (32 - BITS)
-    return found
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
