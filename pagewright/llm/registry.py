@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import op10_bpe
 from .chat import OP7_SQL, op7_chat
+from .decontaminate import op9_decontaminate
 from .language import op4_language
 from .neighbours import op3_neighbours
 from .quality import op8_quality
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op7_chat": op7_chat,
         "op8_quality": op8_quality,
+        "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
     }
 
