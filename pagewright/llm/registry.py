@@ -12,6 +12,7 @@ from .decontaminate import op9_decontaminate
 from .language import op4_language
 from .neighbours import op3_neighbours
 from .quality import op8_quality
+from .repeats import op6_repeats
 from .secrets import OP1_SQL, op1_secrets
 from .simhash import op2_simhash
 from .toxicity import op5_toxicity
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op3_neighbours": op3_neighbours,
         "op4_language": op4_language,
         "op5_toxicity": op5_toxicity,
+        "op6_repeats": op6_repeats,
         "op7_chat": op7_chat,
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
