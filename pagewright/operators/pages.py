@@ -49,10 +49,14 @@ def doc_pages(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_m", F.expr("array_sort(_m)"))
     rows = rows.withColumn("_m", F.expr("filter(_m, (m, i) -> i = size(_m) - 1 or _m[i + 1].n <> m.n)"))
     rows = rows.withColumn("_p", F.expr("filter(transform(_m, (m, i) -> struct(m.n as n, m.at + 1 as s, coalesce(get(_m, i + 1).at - 1, size(_l) - 1) as e)), p -> p.s <= p.e)"))
-    pages = rows.select("doc_id", "_l", F.posexplode("_p").alias("_i", "_x"), "_p", F.expr("exists(_p, (p, i) -> i > 0 and _p[i - 1].e >= p.s)").alias("_mixed"))
-    own = "transform(slice(_l, _x.s + 1, _x.e - _x.s + 1), (t, i) -> struct(_x.s + i + 1 as line, t as text))"
-    later = f"filter({own}, l -> not exists(slice(_p, _i + 2, size(_p)), q -> l.line - 1 between q.s and q.e))"
-    pages = pages.select("doc_id", F.col("_x.n").alias("physical_page"), (F.col("_x.s") + 1).alias("start_line"), (F.col("_x.e") + 1).alias("end_line"), F.expr(own).alias("page_lines"), F.when(F.col("_mixed"), F.expr(later)).otherwise(F.expr(own)).alias("lines"))
+    rows = rows.withColumn("_mixed", F.expr("size(filter(_p, (p, i) -> i > 0 and _p[i - 1].e >= p.s)) > 0"))
+    # a page carries its own lines only, and later ranges only where ranges overlap
+    rows = rows.select("doc_id", F.explode(F.expr("""transform(_p, (p, i) -> struct(p.n as n, p.s as s, p.e as e, slice(_l, p.s + 1, p.e - p.s + 1) as t,
+        if(_mixed, filter(slice(_p, i + 2, size(_p)), q -> q.s <= p.e and q.e >= p.s), slice(_p, 1, 0)) as later))""")).alias("_x"))
+    own = "transform(_x.t, (t, i) -> struct(_x.s + i + 1 as line, t as text))"
+    left = "filter(page_lines, l -> not exists(_x.later, q -> l.line - 1 between q.s and q.e))"
+    pages = rows.withColumn("page_lines", F.expr(own))
+    pages = pages.select("doc_id", F.col("_x.n").alias("physical_page"), (F.col("_x.s") + 1).alias("start_line"), (F.col("_x.e") + 1).alias("end_line"), "page_lines", F.when(F.size("_x.later") > 0, F.expr(left)).otherwise(F.col("page_lines")).alias("lines"))
     found = F.filter(F.transform("page_lines", lambda x: number_in(x["text"], SETTINGS.footer_left, SETTINGS.footer_right)), lambda n: n.isNotNull())
     return pages.withColumn("printed_page", F.get(found, F.lit(0)))
 
@@ -91,7 +95,9 @@ def _full_lines(text: Column | str) -> Column:
 def footer_number(text: Column | str) -> Column:
     """The printed number: of the last five non-blank lines, the lowest that is a footer."""
     last = F.reverse(F.slice(F.reverse(_full_lines(text)), 1, 5))
-    found = F.filter(F.transform(last, lambda x: number_in(x, FOOTER_LEFT, FOOTER_RIGHT)), lambda n: n.isNotNull())
+    # without its bar a line can't match, and trying would cost the square of its length
+    barred = F.filter(last, lambda x: F.contains(x, F.lit("|")))
+    found = F.filter(F.transform(barred, lambda x: number_in(x, FOOTER_LEFT, FOOTER_RIGHT)), lambda n: n.isNotNull())
     return F.try_element_at(found, F.lit(-1))
 
 
@@ -100,7 +106,7 @@ def strip_footer(text: Column | str, printed: Column | str) -> Column:
     rows = X.lines(text)
     place = F.array_max(F.filter(F.transform(rows, lambda x, i: F.when(X.strip(x) != "", i)), lambda i: i.isNotNull()))
     line = X.strip(F.get(rows, place))
-    is_footer = (line.rlike(FOOTER_LEFT) | line.rlike(FOOTER_RIGHT)) & F.contains(line, X.col(printed).cast("string"))
+    is_footer = F.contains(line, F.lit("|")) & (line.rlike(FOOTER_LEFT) | line.rlike(FOOTER_RIGHT)) & F.contains(line, X.col(printed).cast("string"))
     return F.array_join(F.when(F.coalesce(is_footer, F.lit(False)), F.filter(rows, lambda x, i: i != place)).otherwise(rows), "\n")
 
 

@@ -156,8 +156,8 @@ def reduce_chapters(sections: DataFrame) -> DataFrame:
     """Section records to chapter records (D2, D3, D5, D7-D10, D17); sections
     stand by their least page, those without pages last."""
     least = F.coalesce(F.array_min("pages"), F.lit(1_000_000_000))
-    ordered = lambda what: F.transform(F.array_sort(F.collect_list(F.struct(least.alias("p"), F.col("section_name").alias("s"), F.col(what).alias("v")))), lambda x: x["v"])
-    named = sections.withColumn("chapter_name", F.coalesce("chapter_name", F.lit("")))
+    ordered = lambda what: F.transform(F.array_sort(F.collect_list(F.struct(F.col("_least").alias("p"), F.col("section_name").alias("s"), F.col(what).alias("v")))), lambda x: x["v"])
+    named = sections.withColumn("chapter_name", F.coalesce("chapter_name", F.lit(""))).withColumn("_least", least)
     return named.groupBy("doc_id", "chapter_name").agg(_pages().alias("pages"), ordered("section_name").alias("section_names"), *_merged(ordered))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SETTINGS
 from ..functions import text as X
@@ -88,7 +89,7 @@ def chunked(sections: DataFrame, size: int = SETTINGS.chunk_chars, overlap: int
             frame["pages"] = [list(p) for p in frame["pages"]]
             yield frame.drop(columns=["text"])
 
-    schema = sections.drop("text").schema.add("chunks", "array<string>")
+    schema = sections.drop("text").schema.add("chunks", T.ArrayType(T.StringType()))
     each = sections.select(*sections.drop("text").columns, "text").mapInPandas(run, schema)
     return numbered(each.select("*", F.posexplode("chunks").alias("chunk_no", "text")).drop("chunks"))
 
