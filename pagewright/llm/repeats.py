@@ -81,7 +81,9 @@ def phrases(data: np.ndarray, own: np.ndarray, window: int) -> tuple[np.ndarray,
         new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         firsts.append(starts[new] + begin)
         lasts.append(starts[np.concatenate([new[1:], [len(starts)]]) - 1] + begin)
-        hashes.append(roll[place[new]] & ~np.uint64(1))
+        # triggers are least hashes, so low ones: mixed once more they spread over the buckets
+        mixed = roll[place[new]] * np.uint64(0x9E3779B97F4A7C15)
+        hashes.append((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) & ~np.uint64(1))
     if not firsts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
