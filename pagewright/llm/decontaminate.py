@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._shared import pieces, small_batches, table, texts
 
@@ -178,21 +180,25 @@ def _all(text: str, part: str) -> Iterator[int]:
         at = text.find(part, at + len(part))
 
 
+def _chunks(items: DataFrame, item: str, item_text: str, chunk: int):
+    """Broadcasts of the items, each of about ``chunk`` characters."""
+    items = items.select(F.col(item).alias("i"), F.coalesce(item_text, F.lit("")).alias("t"))
+    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = max(1, -(-total // chunk))
+    for part in range(parts):
+        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()]
+        yield items.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])))
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", item: str = "item_id", item_text: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
     """(key, item, start, end, edits) of every place of an item in a text, in
     code points, ends exclusive."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(key, column)
-    items = items.select(F.col(item).alias("i"), F.coalesce(item_text, F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk))
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {items.schema['i'].dataType.simpleString()}, start int, end int, edits int"
-
-    def one(part: int) -> DataFrame:
-        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == part).collect()]
-        shared = spark.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])))
+    schema = T.StructType([docs.schema[key], T.StructField(item, items.schema[item].dataType), *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "edits"))])
+    ids = to_arrow_type(items.schema[item].dataType)
 
+    def one(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ready = Items(shared.value)
             for batch in pieces(batches):
@@ -202,10 +208,26 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str =
                 rest = [pa.array(columns[1], ids)] + [pa.array(c, pa.int32()) for c in columns[2:]]
                 yield pa.RecordBatch.from_arrays([keys, *rest], names=[key, item, "start", "end", "edits"])
 
-        ids = pa.int64() if items.schema["i"].dataType.simpleString() == "bigint" else pa.string()
         return docs.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [one(part) for part in range(chunks)])
+    return reduce(DataFrame.unionByName, [one(shared) for shared in _chunks(items, item, item_text, chunk)])
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, column: str = "text", item: str = "item_id", item_text: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, whatever their ids; nothing
+    is joined or shuffled."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(column)
+
+    def one(docs: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = Items(shared.value)
+            for batch in pieces(batches):
+                yield batch.filter(pa.array([not ready.search(t) for t in texts(batch.column(place))], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return reduce(one, _chunks(items, item, item_text, chunk), docs)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,56 @@
+import hashlib
+import math
+import random
+import re
+
+from pagewright.llm import secrets
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def base(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def entropy(s):
+    return max(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in (s[i : i + 20] for i in range(len(s) - 19)))
+
+
+def test_base_spans_equal_the_patterns(spark):
+    rng = random.Random(2)
+    bits = ["token=", "Token: ", "secret\" : '", "api_key=", "APIKEY=", "pass", "password=abc", "AKIA", "ABCD1234", "0f3a", "deadbeef", " ", "é🙂", "=", "\n", "x_y.z-", "passwd=hunter2hunter2", "token=token: abcdefgh"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, "", "a" * 200_000 + " token=abcdefgh"]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id int, text string, base_spans string, Secret_Spans int").repartition(3)
+    for row in secrets.scan(df).collect():
+        got = [(s.s, s.k, s.e) for s in row.base_spans]
+        assert got == base(texts[row.doc_id])
+        assert set(got) <= {(s.s, s.k, s.e) for s in row.secret_spans}
+
+
+def test_entropy_spans_and_allow_list(spark):
+    key = "Zq8xP2mW9vKd4LtR7nYc3"
+    digest = "9F3A77C1B2E84D60A5F1E2D3"
+    calm = "zzzzzzzzzzzzzzzz1111111111"
+    rows = [(0, f"see {key} here"), (1, f"id {digest}"), (2, calm), (3, "123e4567-e89b-12d3-a456-426614174000"), (4, "averylongwordwithoutdigitsinit"), (5, f"{key}EXAMPLE"), (6, "part-2024-some-words-12-more"), (7, f"token={key}")]
+    got = {r.doc_id: [(s.s, s.k, s.e) for s in r.secret_spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[0] == [(4, 4, 4 + len(key))] and entropy(key) >= secrets.ENTMIX_BITS
+    assert got[1] == [(3, 3, 3 + len(digest))]
+    assert all(got[n] == [] for n in (2, 3, 4, 5, 6))
+    assert [k for _, k, _ in got[7]] == [0]
+
+
+def test_redaction_and_empty_table(spark):
+    rows = [(1, "a token=abcdefgh z token=ijklmnop."), (2, "plain"), (3, None)]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: "a [SECRET] z [SECRET]", 2: "plain", 3: None}
+    assert secrets.scan(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_spelled(spark):
+    df = secrets.scan(spark.createDataFrame([(1, "xx token=abcdefgh")], "doc_id int, text string"))
+    text = df.select(secrets.spelled(df["base_spans"]).alias("s")).first().s
+    assert text == "assign:3:17" and len(hashlib.sha256(text.encode()).hexdigest()) == 64
