@@ -137,7 +137,16 @@ def equal_windows(text: bytes, starts: np.ndarray, window: int) -> tuple[np.ndar
     ``starts`` put in order by eight bytes at a time, as far as a window goes;
     suffixes that stand alone are in place and drop out."""
     words = np.ndarray((max(0, len(text) - 7),), "<u8", text, 0, (1,))
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    # windows whose hash nothing else has stand alone; the others are compared in full
+    mixed = np.zeros(len(starts), np.uint64)
+    for step in [*range(0, window - 8, 8), window - 8]:
+        mixed ^= words[starts + step]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    turn = np.argsort(mixed)
+    twin = mixed[turn][1:] == mixed[turn][:-1]
+    order = np.sort(turn[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]) if len(starts) else turn
+    group = np.zeros(len(order), np.int64)
     for step in [*range(0, window - 8, 8), window - 8]:
         if not len(order):
             break
@@ -267,7 +276,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
                 texts.append(data[at : at + size])
                 at += size
             ends.append(len(texts))
-        bits = earlier(texts, np.concatenate(ids), window)
+        # the dictionary: distinct phrases, each with the first document of all blocks
+        number: dict[bytes, int] = {}
+        entry = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+        least = np.concatenate(ids)
+        first = np.full(len(number), NO_ID)
+        np.minimum.at(first, entry, least)
+        whole = (np.uint64(1) << np.array([len(t) - window + 1 for t in number], np.uint64)) - np.uint64(1)
+        bits = np.where(least > first[entry], whole[entry], earlier(list(number), first, window)[entry])
         return part(group.column("bucket").to_pylist(), group.column("block").to_pylist(), [bits[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)])
 
     stage = [blocks.select("block", "ids", "sizes", "data").groupBy("block"), answers.withColumn("kind", F.lit(0))]
@@ -288,6 +304,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
                 if block.ids[doc] > least:
                     gone[first] += 1
                     gone[first + len(phrase)] -= 1
+                elif bits == (1 << count) - 1:
+                    gone[first] += 1
+                    gone[first + len(phrase)] -= 1
                 elif bits:
                     for k in range(count):
                         if bits >> k & 1:
