@@ -26,3 +26,46 @@ def test_stage_edge_cases(spark, stage):
     out = {r.doc_id for r in stage(spark, df, SF).collect()}
     assert {1, None, 4} <= out
     assert stage(spark, df.where("false"), SF).count() == 0
+
+
+def plain_run():
+    """The stages over documents by plain definitions."""
+    import hashlib
+    import re
+
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+
+    from pagewright.llm import bpe, simhash
+    from tests.llm.test_secrets import base
+
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+    items = [t.lower() for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
+    docs = [(i, t) for i, t in docs if t and re.search(r"[^\W\d_]", t)]
+    prints = [simhash.fingerprint(t) for _, t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    docs = [d for n, d in enumerate(docs) if root[n] == n]
+    docs = [(i, t) for i, t in docs if not any(x in t.lower() for x in items)]
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    out = {}
+    for i, t in docs:
+        kept, at = "", 0
+        for start, _, end in base(t):
+            if start >= at:
+                kept += t[at:start] + "[SECRET]"
+            at = max(at, end)
+        kept += t[at:]
+        ids = encoding.encode_ordinary(kept)
+        out[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def test_run_equals_plain_definitions(spark):
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pipeline.run(spark, SF).collect()}
+    assert got == plain_run()
