@@ -22,7 +22,8 @@ def clean_images(docs: DataFrame) -> DataFrame:
     image line or after 200 lines; page markers don't end it. Runs of blank lines
     shrink to one (C6, E8, E9, F10, G3, H6, D25, H23)."""
     rows = docs.select("doc_id", "text", X.lines("text").alias("_l"))
-    rows = rows.withColumn("_s", F.transform("_l", X.strip))
+    # without an image mark there is nothing to look for
+    rows = rows.withColumn("_s", F.when(F.contains("text", F.lit("![")), F.transform("_l", X.strip)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_edge", F.transform("_s", lambda t: t.rlike(HEADING) | t.rlike(IMAGE)))
     place = F.filter(F.transform("_s", lambda t, i: F.when(t.rlike(IMAGE), F.struct(i.alias("i"), X.strip(F.regexp_extract(t, IMAGE, 1)).alias("alt")))), lambda x: x.isNotNull())
     rows = rows.withColumn("_img", place)

@@ -18,7 +18,7 @@ LOOSE_PATTERNS = 1000
 def page_lines(pages: DataFrame) -> DataFrame:
     """Lines that can match: not empty, no marker, within a page."""
     each = pages.select("doc_id", "physical_page", "printed_page", F.explode("lines").alias("x"))
-    return each.select("doc_id", "physical_page", "printed_page", F.col("x.line").alias("line"), F.col("x.text").alias("text")).where((F.col("text") != "") & ~F.col("text").rlike(QUERY_MARKER))
+    return each.select("doc_id", "physical_page", "printed_page", F.col("x.line").alias("line"), F.col("x.text").alias("text")).where((F.col("text") != "") & ~(F.startswith("text", F.lit("{")) & F.col("text").rlike(QUERY_MARKER)))
 
 
 def _capped(matches: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:

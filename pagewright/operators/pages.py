@@ -33,8 +33,10 @@ def page_count(text: Column | str) -> Column:
 
 def number_in(line: Column, *patterns: str) -> Column:
     """The number that the first matching pattern finds; null if none does."""
-    found = [F.when(line.rlike(p), F.regexp_extract(line, p, 1)) for p in patterns]
-    return F.coalesce(*found).try_cast("int")
+    found = F.coalesce(*[F.when(line.rlike(p), F.regexp_extract(line, p, 1)) for p in patterns])
+    if all(r"\|" in p for p in patterns):  # a line without the bar can't match
+        found = F.when(F.contains(line, F.lit("|")), found)
+    return found.try_cast("int")
 
 
 def doc_pages(docs: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def doc_pages(docs: DataFrame) -> DataFrame:
     Where markers are out of order and ranges overlap, a line is of the page of
     the highest number; empty ranges are no pages (E1, E3, E5, C5)."""
     rows = docs.select("doc_id", X.lines("text").alias("_l"))
-    rows = rows.withColumn("_m", F.expr("filter(transform(_l, (t, i) -> struct(try_cast(regexp_extract(t, r'" + QUERY_MARKER + "', 1) as int) as n, i as at)), m -> m.n is not null)"))
+    rows = rows.withColumn("_m", F.expr("filter(transform(_l, (t, i) -> struct(if(startswith(t, '{'), try_cast(regexp_extract(t, r'" + QUERY_MARKER + "', 1) as int), null) as n, i as at)), m -> m.n is not null)"))
     # the last marker of each number, by number
     rows = rows.withColumn("_m", F.expr("array_sort(_m)"))
     rows = rows.withColumn("_m", F.expr("filter(_m, (m, i) -> i = size(_m) - 1 or _m[i + 1].n <> m.n)"))
