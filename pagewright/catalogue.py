@@ -198,16 +198,16 @@ GREP_SECTION = f"""WITH {TOC}, sl AS (SELECT DISTINCT sec.section_name, pg.* FRO
 
 
 def grep_many(spark, d) -> DataFrame:
-    """The first five words of every benchmark item, and its first word alone."""
+    """The first five words of every benchmark item, and its second word alone."""
     items = t(spark, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.split("text", " ").alias("w"))
     five = items.select("pattern_id", F.array_join(F.slice("w", 1, 5), " ").alias("pattern"))
-    one = items.where("pattern_id % 20 = 0").select((F.col("pattern_id") + 100000).alias("pattern_id"), F.get("w", F.lit(0)).alias("pattern"))
+    one = items.select((F.col("pattern_id") + 100000).alias("pattern_id"), F.get("w", F.lit(1)).alias("pattern"))
     return grep.grep_many(_pages(spark, d), five.unionByName(one), 4)
 
 
 GREP_MANY = f"""WITH {LINES}, pat AS (
   SELECT item_id AS pattern_id, lower(array_to_string(string_split(text, ' ')[1:5], ' ')) AS q FROM benchmark
-  UNION ALL SELECT item_id + 100000, lower(string_split(text, ' ')[1]) FROM benchmark WHERE item_id % 20 = 0)
+  UNION ALL SELECT item_id + 100000, lower(string_split(text, ' ')[2]) FROM benchmark)
 SELECT * EXCLUDE (k) FROM (SELECT pattern_id, doc_id, printed AS printed_page, p AS physical_page, line, row_number() OVER (PARTITION BY pattern_id, doc_id ORDER BY line) AS k
   FROM pg JOIN pat ON contains(lower(s), q) WHERE s <> '') WHERE k <= 4"""
 
@@ -246,7 +246,7 @@ SELECT doc_id, CASE WHEN found > 0 THEN (CASE WHEN length(t) <= 1200 THEN t ELSE
 def clean_images(spark, d) -> DataFrame:
     """Image lines put before each document's first line: none, alt text next, alt
     text later, alt text nowhere, by doc_id mod 4."""
-    docs = t(spark, d, "documents").where("text is not null and doc_id < 100000")
+    docs = t(spark, d, "documents").where("text is not null")
     alt = F.concat(F.lit("Chart "), F.col("doc_id").cast("string"))
     image = F.concat(F.lit("!["), alt, F.lit("](x.JPG)"))
     case = F.col("doc_id") % 4
@@ -257,7 +257,7 @@ def clean_images(spark, d) -> DataFrame:
 CLEAN_IMAGES = r"""SELECT doc_id, regexp_replace(CASE doc_id % 4 WHEN 0 THEN b WHEN 1 THEN chr(10) || a || chr(10) || b WHEN 2 THEN 'rich words' || chr(10) || chr(10) || b
     ELSE 'Figure: ' || a || chr(10) || '# Head' || chr(10) || a || chr(10) || b END, '\n{3,}', chr(10) || chr(10), 'g') AS text,
   CAST(doc_id % 4 = 1 AS INTEGER) AS n_next, CAST(doc_id % 4 = 2 AS INTEGER) AS n_later, CAST(doc_id % 4 = 3 AS INTEGER) AS n_figure
-FROM (SELECT doc_id, 'Chart ' || doc_id AS a, CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END AS b FROM documents WHERE text IS NOT NULL AND doc_id < 100000)"""
+FROM (SELECT doc_id, 'Chart ' || doc_id AS a, CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END AS b FROM documents WHERE text IS NOT NULL)"""
 
 
 def _analyses(spark, d) -> DataFrame:
@@ -407,21 +407,22 @@ FROM customer, range(1, 11) AS z(k) WHERE (k + c_custkey) % 4 {} 0"""
 
 
 def plan_sections(spark, d) -> DataFrame:
-    """Questions are words of part names, sections are part types of a brand."""
+    """A question for each brand and type of parts, over the parts of the brand as
+    sections of a document."""
     p = t(spark, d, "part")
-    questions = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("doc_id"), F.col("p_name").alias("question"))
+    questions = p.select(F.concat_ws(" ", "p_brand", "p_type").alias("question_id"), F.col("p_brand").alias("doc_id"), F.col("p_type").alias("question")).distinct()
     sections = p.select(F.col("p_brand").alias("doc_id"), F.concat_ws(" ", "p_type", "p_name").alias("section_name"), F.lit("").alias("summary")).distinct()
     return planner.plan(questions, sections, 3).select("question_id", "doc_id", "task_no", "section_name", "score")
 
 
-PLAN_SECTIONS = r"""WITH w AS (SELECT DISTINCT p_partkey AS q, p_brand AS b, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS x FROM part WHERE p_partkey % 50 = 0 AND NOT regexp_matches(lower(p_name), '\b(all|entire|contradictions?|executive summary|whole)\b')),
-s AS (SELECT DISTINCT p_brand AS b, n, unnest(list_filter(regexp_split_to_array(lower(n), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS x FROM (SELECT p_brand, p_type || ' ' || p_name AS n FROM part)),
+PLAN_SECTIONS = r"""WITH w AS (SELECT DISTINCT p_brand || ' ' || p_type AS q, p_brand AS b, unnest(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS x FROM part WHERE NOT regexp_matches(lower(p_type), '\b(all|entire|contradictions?|executive summary|whole)\b')),
+s AS (SELECT DISTINCT b, n, unnest(list_filter(regexp_split_to_array(lower(n), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS x FROM (SELECT p_brand AS b, p_type || ' ' || p_name AS n FROM part)),
 c AS (SELECT q, w.b, n, count(DISTINCT w.x) AS score FROM w JOIN s ON w.b = s.b AND w.x = s.x GROUP BY ALL)
 SELECT q AS question_id, b AS doc_id, CAST(k AS INTEGER) AS task_no, n AS section_name, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, n) AS k FROM c) WHERE k <= 3"""
 
 
 def routes(spark, d) -> DataFrame:
-    q = t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.concat(F.when(F.col("conv_id") % 3 == 0, "Why and how does it compare: ").when(F.col("conv_id") % 3 == 1, "Where is the exact page of ").otherwise(""), F.substring("text", 1, 0)).alias("question"))
+    q = t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.concat(F.when(F.col("conv_id") % 3 == 0, "Why and how does it compare: ").when(F.col("conv_id") % 3 == 1, "Where is the exact page of ").otherwise(""), F.lit("it")).alias("question"))
     return planner.route(q).select("question_id", "route", "failover")
 
 
