@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +31,18 @@ def paginated(documents: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame
     return documents.where("text is not null").select("doc_id", rows.alias("_l")).select("doc_id", F.array_join(pages, "\n").alias("text"))
 
 
+def _stem() -> Column:
+    """Stem of the file a row is from; file names come URL-encoded."""
+    return X.file_stem(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file stem), text, page_count of markdown files.
 
     A path that does not exist raises at once."""
     from ..operators.pages import page_count
 
-    whole = spark.read.text(path, wholetext=True).select(X.file_stem(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
+    whole = spark.read.text(path, wholetext=True).select(_stem().alias("doc_id"), F.col("value").alias("text"))
     return whole.withColumn("page_count", page_count("text"))
 
 
@@ -47,7 +54,7 @@ def write_markdown(docs: DataFrame, path: str) -> None:
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
     """Entries of table-of-contents files ``<stem>.toc.json``."""
     entries = spark.read.schema("section_name string, chapter_name string, page_number string").json(path, multiLine=True)
-    named = entries.withColumn("doc_id", F.regexp_replace(X.file_stem(F.input_file_name()), r"\.toc$", ""))
+    named = entries.withColumn("doc_id", F.regexp_replace(_stem(), r"\.toc$", ""))
     return named.select("doc_id", "section_name", "chapter_name", F.expr("try_cast(page_number as int)").alias("page_number"))
 
 
@@ -93,8 +100,14 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
-def write_traces(traces: DataFrame, path: str) -> None:
-    traces.write.mode("append").json(path)
+def write_traces(traces: DataFrame, path: str) -> bool:
+    """Add traces as JSON; a failure is logged and told, never raised."""
+    try:
+        traces.write.mode("append").json(path)
+    except Exception:
+        logging.getLogger(__name__).exception("traces were not written to %s", path)
+        return False
+    return True
 
 
 def events_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
