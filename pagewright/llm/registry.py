@@ -12,7 +12,7 @@ from .decontaminate import op9_decontaminate
 from .language import op4_language
 from .neighbours import op3_neighbours
 from .quality import op8_quality
-from .repeats import op6_repeats
+from .repeats import OP6_SQL, op6_repeats
 from .secrets import OP1_SQL, op1_secrets
 from .simhash import op2_simhash
 from .toxicity import op5_toxicity
@@ -36,5 +36,6 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secrets": OP1_SQL,
+        "op6_repeats": OP6_SQL,
         "op7_chat": OP7_SQL,
     }

@@ -337,3 +337,18 @@ def op6_repeats(spark, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS s FROM d),
+g AS (SELECT doc_id, s, substring(h, 2 * s + 1, 100) AS x FROM w),
+m AS (SELECT x, min(doc_id) AS least FROM g GROUP BY x),
+hit AS (SELECT g.doc_id, s, CASE WHEN s > lag(s + 50) OVER (PARTITION BY g.doc_id ORDER BY s) THEN 1 ELSE 0 END AS new FROM g JOIN m ON g.x = m.x WHERE least < g.doc_id),
+run AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM hit) GROUP BY doc_id, k),
+cut AS (SELECT run.doc_id, a, b, substring(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS kept FROM run JOIN d ON d.doc_id = run.doc_id WINDOW o AS (PARTITION BY run.doc_id ORDER BY a)),
+r AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS spans, max(b) AS tail, string_agg(kept, '' ORDER BY a) AS kept FROM cut GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
