@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
@@ -36,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int) -> list[tuple[str, object]]:
+    """(text, label) of at most ``limit`` labelled documents, those of least hash
+    of ``key``. Keys and labels are chosen first, so that texts of no other row
+    are moved; the chosen keys, at most ``limit``, are broadcast."""
+    drawn = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.xxhash64(F.col(key).cast("string")).alias("_h"))
+    chosen = F.broadcast(drawn.orderBy("_h", "_k", "_y").limit(limit))
+    found = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).join(chosen, "_k")
+    return [(r[0], r[1]) for r in found.select("_t", "_y", "_h").orderBy("_h", "_y", "_t").limit(limit).collect()]
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import pieces, small_batches, table, texts
+from ._shared import pieces, small_batches, table, texts, training_rows
 from .language import held_out
 
 TRAIN_DOCS = 6000
@@ -100,10 +100,9 @@ def train(samples: list[tuple[str, int]]) -> Linear:
     return Linear(weights, float(b))
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Linear:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Linear:
     """Train on at most ``limit`` labelled rows, taken by the hash of ``key``."""
-    rows = docs.where(F.col(label).isNotNull()).select(F.coalesce(text, F.lit("")).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    return train([(r[0], r[1]) for r in rows.orderBy("h", "y", "t").limit(limit).collect()])
+    return train([(t, int(y)) for t, y in training_rows(docs, labels, key, text, label, limit)])
 
 
 def predict(docs: DataFrame, model: Linear, column: str = "text") -> DataFrame:
@@ -125,6 +124,6 @@ def predict(docs: DataFrame, model: Linear, column: str = "text") -> DataFrame:
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out("doc_id", 3, 1))
-    model = fit(labels.join(docs, "doc_id"))
+    model = fit(docs, labels)
     found = predict(docs, model).drop("text")
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
