@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import pieces, small_batches, table, texts
+from ._shared import pieces, small_batches, table, texts, training_rows
 
 TRAIN_DOCS = 6000
 BITS = 16
@@ -140,10 +140,9 @@ def train(samples: list[tuple[str, int]]) -> Ordinal | None:
     return Ordinal(grades, weights, np.concatenate([base, base + np.cumsum(np.exp(gaps))]))
 
 
-def fit(docs: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Ordinal | None:
+def fit(docs: DataFrame, graded: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Ordinal | None:
     """Train on at most ``limit`` graded rows, taken by the hash of ``key``."""
-    rows = docs.where(F.col(grade).isNotNull()).select(F.coalesce(text, F.lit("")).alias("t"), F.col(grade).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    return train([(r[0], r[1]) for r in rows.orderBy("h", "y", "t").limit(limit).collect()])
+    return train([(t, int(y)) for t, y in training_rows(docs, graded, key, text, grade, limit)])
 
 
 def predict(docs: DataFrame, model: Ordinal | None, column: str = "text") -> DataFrame:
@@ -177,7 +176,7 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     rated = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
-    model = fit(rated.where(~held_out("doc_id", 5, 3)).select("doc_id", grade.alias("grade")).join(docs, "doc_id"))
+    model = fit(docs, rated.where(~held_out("doc_id", 5, 3)).select("doc_id", grade.alias("grade")))
     found = predict(docs, model).drop("text")
     tail = F.coalesce(F.get("tails", F.lit(0)), F.lit(1.0))
     return found.select("doc_id", held_out("doc_id", 5, 3).alias("held_out"), "expected_grade", tail.alias("tail_over_0"), F.coalesce(F.get("tails", F.lit(1)), F.lit(0.0)).alias("tail_over_1"), (tail >= SELECT_TAIL).alias("selected"))
