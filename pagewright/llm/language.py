@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import pieces, small_batches, table, texts
+from ._shared import pieces, small_batches, table, texts, training_rows
 
 TRAIN_DOCS = 4000
 TRAIN_WINDOWS = 4
@@ -130,9 +130,8 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Network | None:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Network | None:
-    """Train on at most ``limit`` labelled rows, taken by the hash of ``key``."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(text, label, F.xxhash64(F.col(key).cast("string")).alias("h"))
-    return train([(r[0], r[1]) for r in rows.orderBy("h", label, text).limit(limit).collect()])
+    """Train on at most ``limit`` labelled rows with a letter, taken by the hash of ``key``."""
+    return train([(t, str(y)) for t, y in training_rows(docs, docs, key, text, label, limit) if HAS_LETTER(t)])
 
 
 def predict(docs: DataFrame, net: Network | None, column: str = "text") -> DataFrame:
