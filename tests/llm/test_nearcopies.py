@@ -57,3 +57,11 @@ def test_stage_drops_edited_copies_and_only_those(spark):
     assert similarity(base, close) >= 0.8 > similarity(base, apart)
     rows = [(i, " ".join(w), "en", "s", 1) for i, w in ((4, base), (7, close), (9, apart))]
     assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()} == {4, 9}
+
+
+def test_stage_keeps_a_row_of_each_class_whatever_the_ids(spark):
+    rows = [(3, "A"), (5, "A"), (5, "B"), (None, "A"), (None, "C"), (None, "C"), (8, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    for n in (1, 4):
+        got = pipeline.drop_near_duplicates(spark, df.repartition(n), "").collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, "A"), (5, "B"), (None, "C"), (8, None)], key=str)
