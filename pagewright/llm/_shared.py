@@ -38,13 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int) -> list[tuple[str, object]]:
-    """(text, label) of at most ``limit`` labelled documents, those of least hash
-    of ``key``. Keys and labels are chosen first, so that texts of no other row
-    are moved; the chosen keys, at most ``limit``, are broadcast."""
-    drawn = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.xxhash64(F.col(key).cast("string")).alias("_h"))
-    chosen = F.broadcast(drawn.orderBy("_h", "_k", "_y").limit(limit))
-    found = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).join(chosen, "_k")
-    return [(r[0], r[1]) for r in found.select("_t", "_y", "_h").orderBy("_h", "_y", "_t").limit(limit).collect()]
+    """(text, label) of at most ``limit`` distinct labelled keys, those of least
+    hash. Keys with their labels are chosen first, so that texts of no other row
+    are moved; the chosen keys, at most ``limit``, are broadcast. A key that
+    repeats counts once, with its least text and each of its distinct labels."""
+    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.collect_set(label).alias("_y"))
+    chosen = F.broadcast(drawn.withColumn("_h", F.xxhash64(F.col("_k").cast("string"))).orderBy("_h", "_k").limit(limit))
+    found = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).join(chosen, "_k").groupBy("_k", "_h").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"))
+    return [(r[0], r[1]) for r in found.select("_t", F.explode("_y").alias("_y"), "_h").orderBy("_h", "_y", "_t").collect()]
 
 
 def texts(column: pa.Array) -> list[str]:
