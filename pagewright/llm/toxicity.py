@@ -1,9 +1,12 @@
 """Toxicity by a linear classifier of character n-grams under naive Bayes scaling.
 
 Features are the character n-grams (on the lower-cased UTF-8 bytes) that occur
-in a text, hashed to a fixed number of buckets.  For each bucket the log-count
-ratio r compares how many toxic and other training texts hold it.  A logistic
-regression with an L2 penalty is then trained on presence times r.
+in a text, hashed to 2^24 buckets.  For each bucket the log-count ratio r
+compares how many toxic and other training texts hold it.  A logistic
+regression with an L2 penalty is then trained on presence times r, over the
+buckets that tell for label 1: those that tell against it pile up with length
+and would hide a passage in a long text.  A text's sum is scaled by the number
+of its buckets to the power of -``LENGTH``.
 
 Training takes at most ``TRAIN_DOCS`` labelled rows (those of least hash), of
 whole texts; scoring reads every byte of every text.
@@ -31,10 +34,11 @@ from .language import held_out
 
 TRAIN_DOCS = 6000
 ORDERS = (5, 6, 7, 8)
-BITS = 20
+BITS = 24
 SMOOTH = 0.5
 LEAST_TEXTS = 4
 LEAST_RATIO = 2.0
+LENGTH = 0.25
 PENALTY = 1e-3
 EPOCHS = 300
 THRESHOLD = 0.7
@@ -58,11 +62,18 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Linear:
-    weights: np.ndarray  # by bucket: coefficient times log-count ratio
+    buckets: np.ndarray  # those with a weight, ascending
+    weights: np.ndarray  # coefficient times log-count ratio
     offset: float
+    middle: float = 1.0  # buckets of a text of middle length
 
     def score(self, text: str) -> float:
-        z = float(self.weights[features(text)].sum()) + self.offset
+        found = features(text)
+        held = found[:0]
+        if len(self.buckets):
+            at = np.minimum(np.searchsorted(self.buckets, found), len(self.buckets) - 1)
+            held = at[self.buckets[at] == found]
+        z = float(self.weights[held].sum()) * ((len(found) + 1) / self.middle) ** -LENGTH + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -71,33 +82,41 @@ def train(samples: list[tuple[str, int]]) -> Linear:
     y = np.array([label for _, label in samples], np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return Linear(np.zeros(size, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    hits, others = np.zeros(size), np.zeros(size)
+        return Linear(np.zeros(0, np.uint32), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    hits, others = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for text, label in samples:
         (hits if label == 1 else others)[features(text)] += 1
-    ratio = np.log((hits + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((others + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH))
     # buckets that say little, or are held by few texts, get no weight
-    telling = (hits + others >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-    columns = [(f := features(text))[telling[f]] for text, _ in samples]
+    held = np.flatnonzero(hits + others >= LEAST_TEXTS)
+    ratio = np.log((hits[held] + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((others[held] + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH))
+    held, ratio = held[ratio >= LEAST_RATIO].astype(np.uint32), ratio[ratio >= LEAST_RATIO]
+    telling = np.zeros(size, bool)
+    telling[held] = True
+    columns, counts = [], np.zeros(len(y))
+    for n, (text, _) in enumerate(samples):
+        found = features(text)
+        columns.append(found[telling[found]])
+        counts[n] = len(found) + 1
+    middle = float(np.median(counts))
+    length = (counts / middle) ** -LENGTH
     rows = np.repeat(np.arange(len(y)), [len(c) for c in columns])
+    # every telling bucket is held by some text
     used, place = np.unique(np.concatenate(columns), return_inverse=True)
-    scale = ratio[used]
+    scale = ratio
     # balanced weights, Adam on the whole sample
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, b = np.zeros(len(used)), 0.0
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(rows, (w * scale)[place], len(y)) + b
+        z = np.bincount(rows, (w * scale)[place], len(y)) * length + b
         pull = balance * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        slope = np.append(np.bincount(place, pull[rows], len(used)) * scale + PENALTY * w, pull.sum())
+        slope = np.append(np.bincount(place, (pull * length)[rows], len(used)) * scale + PENALTY * w, pull.sum())
         m1 += 0.1 * (slope - m1)
         m2 += 0.01 * (slope * slope - m2)
         move = 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w -= move[:-1]
         b -= move[-1]
-    weights = np.zeros(size, np.float32)
-    weights[used] = w * scale
-    return Linear(weights, float(b))
+    return Linear(used, w * scale, float(b), middle)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Linear:
