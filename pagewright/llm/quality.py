@@ -1,7 +1,8 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-A text is a vector of hashed words, word pairs and a few surface shares.  All
-grades share one weight vector; ordered thresholds cut the weighted sum, so
+A text is a vector of hashed words, pairs of token shapes (small, capital, all
+capitals, digit, sign: 25 pairs) and a few surface shares; which words stand
+side by side isn't seen beyond their shapes.  All grades share one weight vector; ordered thresholds cut the weighted sum, so
 P(grade > j) = sigmoid(w x - t_j) with t_0 < t_1 < ...  The thresholds are kept
 in order by training the first and the logarithms of the gaps.  The model gives
 the expected grade and the chance of each tail, by which texts are selected.
