@@ -1,3 +1,5 @@
+import hashlib
+
 from pagewright.llm import chat
 
 
@@ -21,3 +23,22 @@ def test_joined_text_is_unambiguous(spark):
     rows = talk(1, ("user", "a"), ("user", "b")) + talk(2, ("user", "a1:b")) + talk(3, ("user", "a"))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, z string")
     assert {r.conv_id for r in chat.maximal(df).collect()} == {1, 2}
+
+
+def test_rows_without_an_id_stand_alone(spark):
+    rows = [(None, 1, "user", "same"), (None, 2, "user", "same"), (None, 3, "user", "other"), (5, 1, "user", "same"), (6, 1, "user", "first"), (6, 2, "user", "second"), (None, 9, "user", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id, len(r.turns), r.turns[0].text, r.n_copies) for r in chat.maximal(df).collect()), key=str)
+    assert got == sorted([(5, 1, "same", 3), (6, 2, "first", 1), (None, 1, "other", 1)], key=str)
+
+
+def test_long_conversations_hash_like_the_plain_loop(spark):
+    said = [("user" if n % 2 else "assistant", f"turn {n} é🙂" * (n % 3)) for n in range(3000)]
+    rows = talk(1, *said) + talk(2, *said[:2999]) + talk(3, *said[:1280]) + talk(4, *said[:1281], ("user", "x" * 300_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, z string").repartition(3)
+    last, want = "", []
+    for role, text in said:
+        last = hashlib.sha256(f"{last}:{len(role)}:{role}{len(text)}:{text}".encode()).hexdigest()
+        want.append(last)
+    assert chat.snapshots(df).where("conv_id = 1").first().hashes == want
+    assert {r.conv_id: len(r.turns) for r in chat.maximal(df).collect()} == {1: 3000, 4: 1282}
