@@ -25,6 +25,7 @@ replaced; texts are scanned whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,16 +53,35 @@ ALLOWED = [
     r"^([A-Za-z]+|[0-9]{1,8})([-_/=+]+([A-Za-z]+|[0-9]{1,8}))*$",
     r"(?i)(example|placeholder|changeme|dummy|xxxx|abcdef|123456)",
 ]
+#: elements that an array grows by at a time, characters that are put together at a time
+PART, CUT = 256, 2048
 KINDS = ("assign", "access", "hex", "enthex", "entmix")
 TERMS = [round(1e6 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1)]
 
 
+def _bits(name: str, value: Column, by: Column) -> Column:
+    """A shift by a column; the functions of this name take a fixed number only."""
+    return F.call_function(name, value, by)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(rows: Column) -> Column:
+    """An array in parts of ``PART`` elements: what grows by one element at a
+    time grows within a part only."""
+    count = F.greatest(F.ceil(F.size(rows) / PART).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(rows, c * PART + 1, F.lit(PART)))
+
+
 def _found(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
     """Structs (s, k, e, v) of all matches; v is the group ``value``."""
     match = F.regexp_extract_all(text, F.lit(pattern), 0)
     group = F.regexp_extract_all(text, F.lit(pattern), value) if value else match
-    row = F.arrays_zip(F.split(text, pattern, -1).alias("p"), match.alias("m"), group.alias("v"))
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<s: int, k: int, e: int, v: string>>) as out)")
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("p"), match.alias("m"), group.alias("v"))
+    none = F.expr("cast(array() as array<struct<s: int, k: int, e: int, v: string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
@@ -70,29 +90,41 @@ def _found(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
         # the piece after the last match has no match beside it
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(row, empty, step, lambda acc: acc["out"])
+    def placed(parts: Column) -> Column:
+        size = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        starts = F.aggregate(F.transform(parts, size), F.array(F.lit(0)), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
+        both = F.arrays_zip(parts.alias("rows"), F.slice(starts, 1, F.size(parts)).alias("at"))
+        return F.flatten(F.transform(both, lambda b: F.aggregate(b["rows"], F.struct(b["at"].alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    return _let(rows, lambda held: _let(_parts(held), placed))
 
 
 def window_entropy(value: Column, width: int = WINDOW) -> Column:
     """The least sum of c log2 c (in millionths) over all windows; the entropy
     of a window is log2(width) - sum / width, so the least sum is the highest
-    entropy.  Null if ``value`` is shorter than the window."""
+    entropy.  Null if ``value`` is shorter than the window.  The counts are
+    five bits each, twelve to a long, so a step rewrites few cells."""
     codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
     terms = F.array(*[F.lit(t).cast("long") for t in TERMS])
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("least"))
-    steps = F.arrays_zip(codes.alias("new"), F.concat(F.array_repeat(F.lit(-1), width), codes).alias("old"), F.sequence(F.lit(1), F.length(value) + width).alias("i"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    cells = len(ALPHABET) // 12 + 1
+    start = F.struct(F.array_repeat(zero, cells).alias("n"), zero.alias("sum"), F.lit(None).cast("long").alias("least"))
+    cell = lambda code: F.floor(code / 12).cast("int")
+    shift = lambda code: (code % 12) * 5
+    count = lambda counts, code: _bits("shiftright", F.get(counts, cell(code)), shift(code)).bitwiseAND(31).cast("int")
+    steps = F.arrays_zip(codes.alias("new"), F.concat(F.array_repeat(F.lit(0), width), codes).alias("old"), F.sequence(F.lit(1), F.length(value) + width).alias("i"))
 
     def step(acc: Column, x: Column) -> Column:
         new, old = x["new"], x["old"]
-        gone = F.when(old >= 0, F.get(acc["n"], old)).otherwise(F.lit(None))
-        total = acc["sum"] + F.when(gone.isNotNull(), F.get(terms, gone - 1) - F.get(terms, gone)).otherwise(F.lit(0).cast("long"))
-        counts = F.when(old >= 0, F.transform(acc["n"], lambda c, i: c - (i == old).cast("int"))).otherwise(acc["n"])
-        here = F.get(counts, new)
-        total = total + F.get(terms, here + 1) - F.get(terms, here)
-        counts = F.transform(counts, lambda c, i: c + (i == new).cast("int"))
-        full = x["i"] >= width
-        least = F.when(full, F.least(acc["least"], total)).otherwise(acc["least"])
-        return F.when(new.isNull(), acc).otherwise(F.struct(counts.alias("n"), total.alias("sum"), least.alias("least")))
+        gone = F.when(old > 0, count(acc["n"], old))
+        moved = F.transform(acc["n"], lambda c, i: c - F.when((old > 0) & (i == cell(old)), _bits("shiftleft", one, shift(old))).otherwise(zero) + F.when(i == cell(new), _bits("shiftleft", one, shift(new))).otherwise(zero))
+
+        def judged(counts: Column) -> Column:
+            here = count(counts, new)
+            total = acc["sum"] + F.coalesce(F.get(terms, gone - 1) - F.get(terms, gone), zero) + F.get(terms, here) - F.get(terms, here - 1)
+            return _let(total, lambda t: F.struct(counts.alias("n"), t.alias("sum"), F.when(x["i"] >= width, F.least(acc["least"], t)).otherwise(acc["least"]).alias("least")))
+
+        return F.when(new.isNull(), acc).otherwise(_let(moved, judged))
 
     return F.aggregate(steps, start, step, lambda acc: acc["least"])
 
@@ -101,8 +133,19 @@ def _limit(bits: float) -> int:
     return math.floor(WINDOW * (math.log2(WINDOW) - bits) * 1e6)
 
 
-def _apart(span: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["s"] < span["e"]) & (span["s"] < o["e"]))
+def _bounds(spans: Column) -> Column:
+    """Spans in order in parts, each with the first start and the last end in it."""
+    return F.transform(_parts(spans), lambda p: F.struct(F.get(p, F.lit(0))["s"].alias("s"), F.array_max(F.transform(p, lambda m: m["e"])).alias("e"), p.alias("spans")))
+
+
+def _touch(a: Column, b: Column) -> Column:
+    return (a["s"] < b["e"]) & (b["s"] < a["e"])
+
+
+def _apart(spans: Column, others: Column, keep: Callable[[Column], Column]) -> Column:
+    """The spans that touch none of ``others`` (in order) and that ``keep`` holds for."""
+    free = lambda m, parts: ~F.exists(parts, lambda p: _touch(p, m) & F.exists(p["spans"], lambda o: _touch(o, m)))
+    return _let(_let(others, _bounds), lambda parts: F.filter(spans, lambda m: free(m, parts) & keep(m)))
 
 
 def scan(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -116,8 +159,8 @@ def scan(docs: DataFrame, column: str = "text") -> DataFrame:
     out = out.withColumn("_base", F.array_sort(F.concat("_assign", has(ACCESS, 1, "_has"), has(HEX, 2, "_has"))))
     good = lambda m: ~F.exists(F.array(*map(F.lit, ALLOWED)), lambda p: F.regexp(m["v"], p))
     odd = lambda m, bits: window_entropy(m["v"]) <= _limit(bits)
-    out = out.withColumn("_hexes", F.filter(has(HEX_CANDIDATE, 3, "_has"), lambda m: _apart(m, F.col("_base")) & good(m) & odd(m, ENTHEX_BITS)))
-    out = out.withColumn("_mixed", F.filter(has(CANDIDATE, 4, "_has"), lambda m: _apart(m, F.concat("_base", "_hexes")) & good(m) & odd(m, ENTMIX_BITS)))
+    out = out.withColumn("_hexes", _apart(has(HEX_CANDIDATE, 3, "_has"), F.col("_base"), lambda m: good(m) & odd(m, ENTHEX_BITS)))
+    out = out.withColumn("_mixed", _apart(has(CANDIDATE, 4, "_has"), F.array_sort(F.concat("_base", "_hexes")), lambda m: good(m) & odd(m, ENTMIX_BITS)))
     bare = lambda spans: F.transform(spans, lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e")))
     out = out.withColumn("base_spans", bare(F.col("_base"))).withColumn("secret_spans", bare(F.array_sort(F.concat("_base", "_hexes", "_mixed"))))
     return out.drop("_has", "_asks", "_assign", "_base", "_hexes", "_mixed")
@@ -131,15 +174,30 @@ def spelled(spans: Column) -> Column:
 
 def redact(docs: DataFrame, column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``column`` replaced by ``mark``; spans that
-    overlap become one mark, null text stays null."""
+    overlap become one mark, null text stays null. The text is put together
+    from cuts of ``CUT`` characters, each with the spans that reach into it; a
+    mark stands where its first span begins."""
     text = F.col(column)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        before = F.when(m["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), before.alias("out"))
+    def cleaned(cut: Column, first: Column, spans: Column) -> Column:
+        start = F.struct(first.alias("at"), F.lit("").alias("out"))
+        before = lambda acc, to: F.substring(cut, acc["at"] - first + 1, to - acc["at"])
+
+        def step(acc: Column, m: Column) -> Column:
+            here = F.when(m["s"] >= acc["at"], F.concat(acc["out"], before(acc, m["s"]), F.lit(mark))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), here.alias("out"))
+
+        return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.when(acc["at"] < first + CUT, F.substring(cut, acc["at"] - first + 1, F.lit(CUT))).otherwise("")))
+
+    def joined(parts: Column) -> Column:
+        def one(cut: Column, i: Column) -> Column:
+            here = F.struct((i * CUT).alias("s"), (i * CUT + CUT).alias("e"))
+            near = F.flatten(F.transform(F.filter(parts, lambda p: _touch(p, here)), lambda p: F.filter(p["spans"], lambda m: _touch(m, here))))
+            return cleaned(cut, i * CUT, near)
+
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), 0), one), "")
 
-    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = _let(_let(F.col("secret_spans"), _bounds), joined)
     return scan(docs, column).withColumn(column, F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("base_spans", "secret_spans")
 
 
