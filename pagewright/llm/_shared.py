@@ -4,30 +4,50 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
+#: bytes of text that a classifier learns from, whole texts
+TRAIN_BYTES = 64 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of one Arrow batch, so that Python workers hold
-    a few MB of text whatever the length of the documents."""
+    a few MB of text whatever the length of the documents. The two settings are
+    read when a plan runs, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that
+    is unset, as in tests, one of this machine serves if this machine is all
+    there is; on a cluster it's an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = _own_folder()
+    return folder.rstrip("/")
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="pagewright-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder all machines share and read it from
     there: lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagewright-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -37,15 +57,41 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int) -> list[tuple[str, object]]:
-    """(text, label) of at most ``limit`` distinct labelled keys, those of least
-    hash. Keys with their labels are chosen first, so that texts of no other row
-    are moved; the chosen keys, at most ``limit``, are broadcast. A key that
-    repeats counts once, with its least text and each of its distinct labels."""
-    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.collect_set(label).alias("_y"))
-    chosen = F.broadcast(drawn.withColumn("_h", F.xxhash64(F.col("_k").cast("string"))).orderBy("_h", "_k").limit(limit))
-    found = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).join(chosen, "_k").groupBy("_k", "_h").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"))
-    return [(r[0], r[1]) for r in found.select("_t", F.explode("_y").alias("_y"), "_h").orderBy("_h", "_y", "_t").collect()]
+def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, object]]:
+    """(text, label) of at most ``limit`` labelled keys, those of least hash, as
+    far as their texts hold ``most_bytes`` together: rows and bytes that reach
+    the driver are bounded. Keys with their labels are chosen first, so that
+    texts of no other row are moved; the chosen keys are broadcast.
+
+    Which text of a key a label speaks of is only known if the key has one text
+    and one label: keys with several are left out; repeated rows count once."""
+    drawn = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_y"), F.max(label).alias("_z"))
+    named = drawn.where("_y = _z").select("_k", "_y")
+    found = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).join(_least_keys(named, limit), "_k")
+    found = found.groupBy("_k", "_y", "_h").agg(F.min("_t").alias("_t"), F.max("_t").alias("_u")).where("_t = _u")
+    return _bounded(found, most_bytes)
+
+
+def labelled_texts(docs: DataFrame, key: str, text: str, label: str, limit: int, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, object]]:
+    """The same where text and label stand in one row of ``docs``: distinct
+    (text, label) rows of the chosen keys, each text with its own label."""
+    rows = docs.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).alias("_y"), F.coalesce(text, F.lit("")).alias("_t"))
+    chosen = _least_keys(rows.select("_k").distinct(), limit)
+    return _bounded(rows.join(chosen, "_k").select("_y", "_t", "_h").distinct(), most_bytes, limit)
+
+
+def _least_keys(keys: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(keys.withColumn("_h", F.xxhash64(F.col("_k").cast("string"))).orderBy("_h", "_k").limit(limit))
+
+
+def _bounded(found: DataFrame, most_bytes: int, most_rows: int | None = None) -> list[tuple[str, object]]:
+    """Rows by hash as long as the sum of their bytes is within the bound; the
+    window sees the chosen rows only and may spill."""
+    order = Window.orderBy("_h", "_y", "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = found.select("_t", "_y", "_h").withColumn("_b", F.sum(F.octet_length("_t").cast("long")).over(order)).where(F.col("_b") <= most_bytes)
+    if most_rows is not None:
+        held = held.orderBy("_h", "_y", "_t").limit(most_rows)
+    return [(r[0], r[1]) for r in held.select("_t", "_y").collect()]
 
 
 def texts(column: pa.Array) -> list[str]:

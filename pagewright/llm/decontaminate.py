@@ -15,7 +15,8 @@ least m - q + 1 - q e of its q-grams with the place, all on nearby diagonals
 
 The comparison is of lower-cased characters.  The edit budget is ``RATE`` of
 the item's length, less where the lemma would else give no bound.  Items are
-broadcast in chunks of a checked size, as many passes as that takes.
+broadcast in chunks of a measured size, one at a time, as many passes as that
+takes.
 
 Defined cases: null text or item is empty; empty items match nothing; items
 shorter than q characters are found as exact text; texts are taken whole;
@@ -26,7 +27,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,19 +38,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._shared import pieces, small_batches, table, texts
+from ._shared import cut, pieces, small_batches, table, texts
 
 Q = 8
 RATE = 0.08
 CHUNK_CHARS = 4_000_000
+#: pairs of text places and item postings that are held at a time
+SLICE = 1 << 20
 
 
-def codes(text: str) -> np.ndarray:
-    """Lower-cased code points; characters whose lower case is longer stay."""
+def lowered(text: str) -> str:
+    """Lower case, place by place; characters whose lower case is longer stay."""
     low = text.lower()
-    if len(low) != len(text):
-        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def codes(text: str) -> np.ndarray:
+    """Lower-cased code points."""
+    return np.frombuffer(lowered(text).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def grams(values: np.ndarray, q: int) -> np.ndarray:
@@ -93,7 +100,7 @@ class Items:
             if not len(values):
                 continue
             if len(values) < q:
-                self.short.append((key, text.lower()))
+                self.short.append((key, lowered(text)))
                 continue
             e = max(0, min(int(rate * len(values)), (len(values) - q) // q))
             self.ids.append(key)
@@ -135,7 +142,8 @@ class Items:
     def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item, start, end, edits) of every place; of places of one item that
         overlap, the one with the fewest edits."""
-        out = [(key, at, at + len(s), 0) for key, s in self.short for at in _all(text.lower(), s)]
+        low = lowered(text) if self.short else ""
+        out = [(key, at, at + len(s), 0) for key, s in self.short for at in _all(low, s)]
         if not self.codes or len(text) < self.q:
             return out
         values = codes(text)
@@ -144,34 +152,78 @@ class Items:
         at = np.flatnonzero(self._hopeful(marks))
         if not len(at):
             return out
-        low, high = (self.hashes.searchsorted(hashes[at], side) for side in ("left", "right"))
-        count = high - low
-        rows = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item = self.owner[rows]
-        diagonal = np.repeat(at, count) - self.place[rows]
-        half = self.edits[item] + 1
-        band = diagonal // half  # floor; each hit counts in its band and the one before
-        keys = np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + (1 << 39)
-        keys, counts = np.unique(keys, return_counts=True)
-        item, band = keys >> 40, (keys & (1 << 40) - 1) - (1 << 39)
-        good = counts >= self.least[item]
         best: dict[int, list[tuple[int, int, int]]] = {}
-        for i, b in zip(item[good].tolist(), band[good].tolist(), strict=True):
+        for i, b in self._bands(hashes, at):
             e, want = int(self.edits[i]), self.codes[i]
             start = max(0, b * (e + 1) - e)
             stop = min(len(values), (b + 2) * (e + 1) + len(want) + e)
-            edits, end = align(want, values[start:stop])
+            region = values[start:stop]
+            if (exact := _first(region, want)) >= 0:
+                best.setdefault(i, []).append((0, start + exact, start + exact + len(want)))
+                continue
+            edits, end = align(want, region)
             if edits <= e:
                 _, length = align(want[::-1], values[start : start + end][::-1])
                 best.setdefault(i, []).append((edits, start + end - length, start + end))
         for i, places in best.items():
-            taken: list[tuple[int, int, int]] = []
-            for place in sorted(set(places)):
-                if all(place[2] <= t[1] or t[2] <= place[1] for t in taken):
-                    taken.append(place)
-            out += [(self.ids[i], s, t, n) for n, s, t in sorted(taken, key=lambda p: p[1])]
+            out += [(self.ids[i], s, t, n) for s, t, n in _apart(places)]
         return out
 
+    def _bands(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """(item, band) of every diagonal band with enough shared q-grams. The
+        pairs of places and postings are counted slice by slice, so their number
+        bounds the time but not the memory, however repetitive both sides are."""
+        low, high = (self.hashes.searchsorted(hashes[at], side) for side in ("left", "right"))
+        count = high - low
+        seen, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(count)
+        begin = 0
+        while begin < len(at):
+            done = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+            first, size = low[begin:stop], count[begin:stop]
+            rows = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            item = self.owner[rows]
+            # floor; each hit counts in its band and the one before
+            band = (np.repeat(at[begin:stop], size) - self.place[rows]) // (self.edits[item] + 1)
+            keys, n = np.unique((item << 40) + band + (1 << 39), return_counts=True)
+            if len(seen):
+                keys, back = np.unique(np.concatenate([seen, keys]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([held, n])).astype(np.int64)
+            seen, held, begin = keys, n, stop
+        # a band takes the hits of two neighbouring strips of diagonals
+        keys = np.unique(np.concatenate([seen, seen - 1]))
+        total = np.zeros(len(keys), np.int64)
+        for strip in (keys, keys + 1):
+            if len(seen):
+                place = np.minimum(np.searchsorted(seen, strip), len(seen) - 1)
+                total += np.where(seen[place] == strip, held[place], 0)
+        item = keys >> 40
+        good = total >= self.least[item]
+        return list(zip(item[good].tolist(), ((keys & (1 << 40) - 1) - (1 << 39))[good].tolist(), strict=True))
+
+
+def _first(region: np.ndarray, item: np.ndarray) -> int:
+    """The first place of an exact occurrence, or -1."""
+    data, want, at = region.tobytes(), item.tobytes(), -1
+    while (at := data.find(want, at + 1)) >= 0:
+        if at % 4 == 0:
+            return at // 4
+    return -1
+
+
+def _apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) in order: of places (edits, start, end) that overlap,
+    the one with the fewest edits, then the first."""
+    starts: list[int] = []
+    taken: list[tuple[int, int, int]] = []
+    for edits, start, end in sorted(set(places)):
+        n = bisect.bisect_left(starts, start)
+        if (n == 0 or taken[n - 1][1] <= start) and (n == len(starts) or end <= starts[n]):
+            starts.insert(n, start)
+            taken.insert(n, (start, end, edits))
+    return taken
+
 
 def _all(text: str, part: str) -> Iterator[int]:
     at = text.find(part)
@@ -180,14 +232,37 @@ def _all(text: str, part: str) -> Iterator[int]:
         at = text.find(part, at + len(part))
 
 
-def _chunks(items: DataFrame, item: str, item_text: str, chunk: int):
-    """Broadcasts of the items, each of about ``chunk`` characters."""
-    items = items.select(F.col(item).alias("i"), F.coalesce(item_text, F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    parts = max(1, -(-total // chunk))
-    for part in range(parts):
-        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()]
-        yield items.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])))
+def _chunks(items: DataFrame, item: str, item_text: str, chunk: int) -> list[DataFrame]:
+    """The distinct items with their number of rows (i, t, n), in parts that are
+    measured: none holds more than ``chunk`` characters, save for one item that
+    is longer by itself."""
+    items = items.select(F.col(item).alias("i"), F.coalesce(item_text, F.lit("")).alias("t")).groupBy("i", "t").agg(F.count("*").alias("n"))
+    part = lambda parts: F.pmod(F.xxhash64("i", "t"), F.lit(parts))
+    parts, most = 1, None
+    while most is None or most > chunk:
+        if most is not None:
+            parts *= 2
+        sizes = items.groupBy(part(parts)).agg(F.sum(F.length("t")).alias("held"), F.count("*").alias("rows"))
+        most = sizes.where("rows > 1").agg(F.max("held")).first()[0] or 0
+    return [items.where(part(parts) == p) for p in range(parts)]
+
+
+def _shared_items(part: DataFrame):
+    """One part of the items, as a broadcast."""
+    rows = [(r[0], r[1]) for r in part.collect() for _ in range(r[2])]
+    return part.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])))
+
+
+def _passes(parts: list[DataFrame], one: Callable[..., DataFrame]) -> Iterator[DataFrame]:
+    """``one`` with each part's broadcast; all but the last are run at once and
+    their broadcast is dropped, so that one part at a time is held."""
+    for n, part in enumerate(parts):
+        shared = _shared_items(part)
+        found = one(shared)
+        if n < len(parts) - 1:
+            found = cut(found)
+            shared.destroy()
+        yield found
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", item: str = "item_id", item_text: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
@@ -210,7 +285,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str =
 
         return docs.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [one(shared) for shared in _chunks(items, item, item_text, chunk)])
+    return reduce(DataFrame.unionByName, _passes(_chunks(items, item, item_text, chunk), one))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, column: str = "text", item: str = "item_id", item_text: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
@@ -227,7 +302,14 @@ def without_leaks(docs: DataFrame, items: DataFrame, column: str = "text", item:
 
         return docs.mapInArrow(run, docs.schema)
 
-    return reduce(one, _chunks(items, item, item_text, chunk), docs)
+    parts = _chunks(items, item, item_text, chunk)
+    for n, part in enumerate(parts):
+        shared = _shared_items(part)
+        docs = one(docs, shared)
+        if n < len(parts) - 1:
+            docs = cut(docs)
+            shared.destroy()
+    return docs
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

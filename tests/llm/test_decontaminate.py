@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -61,3 +62,28 @@ def test_grams_depend_on_their_characters_alone():
     a, b = decontaminate.codes("xxabcdefghij"), decontaminate.codes("abcdefghijyy")
     for q in (3, 8, 11):
         assert np.intersect1d(decontaminate.grams(a, q), decontaminate.grams(b, q)).size >= max(0, 10 - q + 1)
+
+
+def test_places_of_short_items_are_places_in_the_text():
+    ready = decontaminate.Items([(1, "tiny"), (2, "İx")])
+    assert ready.search("İİİ tiny İX") == [(1, 4, 8, 0), (2, 9, 11, 0)]
+
+
+def test_runs_of_one_letter_take_bounded_memory(monkeypatch):
+    item = "a" * 400
+    whole = decontaminate.Items([(1, item)]).search("b" * 50 + "a" * 3000 + "b")
+    assert [w[1:] for w in whole][:2] == [(50, 450, 0), (450, 850, 0)] or len(whole) >= 6
+    monkeypatch.setattr(decontaminate, "SLICE", 1000)
+    assert decontaminate.Items([(1, item)]).search("b" * 50 + "a" * 3000 + "b") == whole
+    tracemalloc.start()
+    assert decontaminate.Items([(1, item)]).search("a" * 60_000)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_equal_and_long_items_are_dealt_in_measured_parts(spark):
+    rows = [(1, "same words of an item")] * 5 + [(2, "x" * 300)] + [(n, f"item number {n}") for n in range(3, 60)]
+    items = spark.createDataFrame(rows, "item_id int, text string")
+    parts = [p.collect() for p in decontaminate._chunks(items, "item_id", "text", 100)]
+    assert sorted((r.i, r.n) for p in parts for r in p) == [(1, 5), (2, 1), *((n, 1) for n in range(3, 60))]
+    assert all(len(p) <= 1 or sum(len(r.t) for r in p) <= 100 for p in parts)
