@@ -13,14 +13,20 @@ the block are verified.  A vector at a distance of the radius collides in 68 %
 of the arrays, so with the threshold below that it is missed in one array set
 of hundreds; recall is measured against brute force in the tests.
 
-The query set is compared with all blocks in blocks of its own; nothing is
-broadcast and only the k best of each block leave a task.
+The query set is compared with all blocks in blocks of its own. A data block's
+rows come first in its task and are indexed once; query blocks follow and
+stream past the index, one at a time. Nothing is broadcast, only the k best of
+each block leave a task, and blocks are dealt by id and vector, so an id that
+many rows have fills no block by itself.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite
 component take no part, nor do rows of null id; vectors of another length than
-the query's are no candidates; a query's own id is no candidate; an id that
-occurs in several rows counts once, by its best row; ties go to the smaller
-id; an empty table or query set gives no row.
+the query's are no candidates; rows with the query's id are no candidates; an
+id that occurs in several rows counts once as a candidate, by its best row, and
+as a query asks with each of its distinct vectors, of which the best score of a
+candidate counts; a block with fewer than k candidates returns all of them;
+ties go to the smaller id; an empty table or query set gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ WIDEN = 1.25
 FIRST_RADIUS = 0.1
 BLOCK = 16384
 QUERY_BLOCK = 1024
+#: rows that travel together
+PART = 2048
 
 
 def usable(vector: Column) -> Column:
@@ -48,10 +56,15 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _packed(df: DataFrame, size: int, block: str) -> DataFrame:
-    """One row for each block: ids and vectors of about ``size`` rows."""
-    spread = df.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(size)).alias(block))
-    return spread.groupBy(block).agg(F.collect_list("id").alias(f"{block}_ids"), F.collect_list("v").alias(f"{block}_vs"))
+def _packed(df: DataFrame, blocks: int, rows: int) -> DataFrame:
+    """(block, part, ids, vs): the vectors of each block in parts of about ``rows``
+    rows; equal rows are one from the map side on."""
+    place = F.pmod(F.xxhash64("id", "v"), F.lit(blocks).cast("long"))
+    parts = max(1, BLOCK // rows)
+    part = F.pmod(F.xxhash64("v", "id"), F.lit(parts).cast("long"))
+    spread = df.select("id", F.col("v").cast("array<double>").alias("v")).select("id", "v", place.alias("block"), part.alias("part"))
+    packed = spread.groupBy("block", "part").agg(F.collect_set(F.struct("id", "v")).alias("rows"))
+    return packed.select("block", "part", F.col("rows.id").alias("ids"), F.col("rows.v").alias("vs"))
 
 
 class Index:
@@ -97,6 +110,11 @@ class Index:
                     reach = scores[best[-1]] if len(best) == k else -2.0
                     if np.sqrt(max(0.0, 2 - 2 * reach)) <= radius or done.all():
                         break
+            if len(found) < k and not done.all():
+                # far vectors that no window reached often enough
+                fresh = np.flatnonzero(~done)
+                found = np.concatenate([found, fresh])
+                scores = np.concatenate([scores, (self.vectors[fresh] * queries[q]).sum(1) / (self.norms[fresh] * norms[q])])
             best = np.lexsort((self.ids[found], -scores))[:k]
             for i in best:
                 yield int(own), int(self.ids[found[i]]), float(scores[i])
@@ -109,27 +127,37 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     chosen = vectors.where(F.col(key).isNotNull() & usable(F.col(column))).select(F.col(key).alias("id"), F.col(column).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     size, asked = chosen.agg(F.count("*"), F.count_if("asks")).first()
     blocks, query_blocks = max(1, -(-size // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    data = _packed(chosen, blocks, "d")
-    asks = _packed(chosen.where("asks").dropDuplicates(["id"]), query_blocks, "q").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    data = _packed(chosen, blocks, PART).withColumn("asks", F.lit(False))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asks = _packed(chosen.where("asks"), query_blocks, BLOCK).select(every.alias("block"), F.col("block").alias("part"), "ids", "vs", F.lit(True).alias("asks"))
 
-    def matrix(ids, vs) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    def matrices(one: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length: ids and vectors of one row."""
+        ids, vs = one.column("ids")[0], one.column("vs")[0]
         ids, ends, flat = ids.values.to_numpy(), vs.values.offsets.to_numpy(), vs.values.values.to_numpy()
         lengths = np.diff(ends)
         return {int(n): (ids[lengths == n], np.stack([flat[ends[i] : ends[i] + n] for i in np.flatnonzero(lengths == n)])) for n in np.unique(lengths)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, indexes = None, {}
+        block, held, indexes = None, {}, None
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                if one.column("d")[0].as_py() != block:
-                    block = one.column("d")[0].as_py()
-                    indexes = {n: Index(*x) for n, x in matrix(one.column("d_ids")[0], one.column("d_vs")[0]).items()}
-                found = [x for n, (ids, vs) in matrix(one.column("q_ids")[0], one.column("q_vs")[0]).items() if n in indexes for x in indexes[n].nearest(ids, vs, k)]
+                if one.column("block")[0].as_py() != block:
+                    block, held, indexes = one.column("block")[0].as_py(), {}, None
+                if not one.column("asks")[0].as_py():
+                    for n, x in matrices(one).items():
+                        held.setdefault(n, []).append(x)
+                    continue
+                if indexes is None:
+                    indexes = {n: Index(np.concatenate([i for i, _ in x]), np.concatenate([v for _, v in x])) for n, x in held.items()}
+                    held = {}
+                found = [x for n, (ids, vs) in matrices(one).items() if n in indexes for x in indexes[n].nearest(ids, vs, k)]
                 a, b, c = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "id", "score"])
 
-    pairs = data.join(asks, "d").select("d", "d_ids", "d_vs", "q_ids", "q_vs")
+    # some tasks more than blocks, so that few of them get two
+    pairs = data.unionByName(asks).repartition(min(4 * blocks, 100_000), "block").sortWithinPartitions("block", "asks", "part")
     best = pairs.mapInArrow(run, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
