@@ -7,14 +7,18 @@ As its input is bytes, a filter is a sum of table look-ups, so prediction
 gathers rows of small tables over whole batches of windows.  A document's
 probabilities are the mean over all its windows, weighted by their bytes.
 
-Training takes at most ``TRAIN_DOCS`` labelled rows (those of least hash) and
-``TRAIN_WINDOWS`` windows of each, spread over the whole text; prediction reads
-every byte of every text.
+Training takes the labelled rows of at most ``TRAIN_DOCS`` keys (those of least
+hash), as far as their texts hold ``_shared.TRAIN_BYTES`` together, and draws
+its batches from all windows of their whole texts; prediction reads every byte
+of every text.
 
 Defined cases: null text, empty text and text of no letter are ``und`` with
-score 0; rows of null label are not learned from; repeated rows are predicted
-each; if nothing can be learned from, all is ``und``; other columns are kept
-and columns named like the results replaced.
+score 0; rows of null label or null key are not learned from, equal rows count
+once, and rows of one key with different texts are learned from each with its
+own label; ``held_out`` of a null key is true, as it is never learned from;
+repeated rows are predicted each; if nothing can be learned from, all is
+``und``; an empty table gives no row; other columns are kept and columns named
+like the results replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import pieces, small_batches, table, texts, training_rows
+from ._shared import labelled_texts, pieces, small_batches, table, texts
 
 TRAIN_DOCS = 4000
-TRAIN_WINDOWS = 4
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -88,13 +91,10 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Network | None:
     if not labels:
         return None
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, label in samples:
-        rows = windows_of(text)
-        rows = rows[np.linspace(0, len(rows) - 1, min(TRAIN_WINDOWS, len(rows))).astype(int)]
-        xs.append(rows)
-        ys += [labels.index(label)] * len(rows)
-    x, y = np.concatenate(xs), np.array(ys)
+    xs = [windows_of(text) for text, _ in samples]
+    x, y = np.concatenate(xs), np.array([labels.index(label) for _, label in samples])
+    sizes = np.array([len(rows) for rows in xs])
+    starts = np.cumsum(sizes) - sizes
     total = FILTERS * len(WIDTHS)
     net = Network(labels, rng.normal(0, 0.5, (256, VECTOR)), [rng.normal(0, 0.4, (w, VECTOR, FILTERS)) for w in WIDTHS], np.zeros(total), rng.normal(0, 0.2, (total, len(labels))), np.zeros(len(labels)))
     weight = len(y) / (len(labels) * np.bincount(y, minlength=len(labels)))
@@ -102,8 +102,9 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Network | None:
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     wide = sorted(range(len(WIDTHS)), key=lambda i: -WIDTHS[i])  # in the order of tables()
     for step in range(1, STEPS + 1):
+        # a text, then any of its windows: long texts count no more than short ones
         pick = rng.integers(0, len(y), BATCH)
-        rows, want = x[pick], y[pick]
+        rows, want = x[starts[pick] + (rng.random(BATCH) * sizes[pick]).astype(np.int64)], y[pick]
         responses = net.pooled(rows, net.tables())
         at = responses.argmax(1)
         top = np.take_along_axis(responses, at[:, None], 1)[:, 0] + net.bias
@@ -130,8 +131,8 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Network | None:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Network | None:
-    """Train on at most ``limit`` labelled rows with a letter, taken by the hash of ``key``."""
-    return train([(t, str(y)) for t, y in training_rows(docs, docs, key, text, label, limit) if HAS_LETTER(t)])
+    """Train on the labelled rows with a letter of at most ``limit`` keys, taken by the hash of ``key``."""
+    return train([(t, str(y)) for t, y in labelled_texts(docs, key, text, label, limit) if HAS_LETTER(t)])
 
 
 def predict(docs: DataFrame, net: Network | None, column: str = "text") -> DataFrame:
@@ -168,7 +169,8 @@ def predict(docs: DataFrame, net: Network | None, column: str = "text") -> DataF
 
 
 def held_out(key: str, folds: int, fold: int):
-    return F.crc32(F.col(key).cast("string")) % folds == fold
+    """Whether a row's fold is the one not learned from; a null key is."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == fold, F.lit(True))
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

@@ -8,14 +8,17 @@ buckets that tell for label 1: those that tell against it pile up with length
 and would hide a passage in a long text.  A text's sum is scaled by the number
 of its buckets to the power of -``LENGTH``.
 
-Training takes at most ``TRAIN_DOCS`` labelled rows (those of least hash), of
-whole texts; scoring reads every byte of every text.
+Training takes at most ``TRAIN_DOCS`` labelled keys (those of least hash), as
+far as their whole texts hold ``_shared.TRAIN_BYTES`` together; scoring reads
+every byte of every text.
 
 Defined cases: null text is empty text and is scored by the offset alone, as
-are texts shorter than the least n; rows of null label are not learned from;
-repeated rows are scored each; with one label or none to learn from every
-score is the share of label 1; other columns are kept and columns named like
-the results replaced.
+are texts shorter than the least n; rows of null label or null key are not
+learned from, nor keys with several texts or several labels, as it isn't known
+which text a label speaks of; ``held_out`` of a null key is true; repeated rows
+are learned from once and scored each; with one label or none to learn from
+every score is the share of label 1; an empty table gives no row; other columns
+are kept and columns named like the results replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from .language import held_out
 TRAIN_DOCS = 6000
 ORDERS = (5, 6, 7, 8)
 BITS = 24
+PIECE = 1 << 18
 SMOOTH = 0.5
 LEAST_TEXTS = 4
 LEAST_RATIO = 2.0
@@ -44,10 +48,10 @@ EPOCHS = 300
 THRESHOLD = 0.7
 
 
-def features(text: str) -> np.ndarray:
-    """The distinct buckets of a text's n-grams."""
-    data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
-    out, run = [], data
+def _buckets(data: np.ndarray) -> np.ndarray:
+    """The distinct buckets of the n-grams of some bytes, ascending."""
+    data, out = data.astype(np.uint32), []
+    run = data
     for n in range(2, max(ORDERS) + 1):
         if len(data) < n:
             break
@@ -60,6 +64,18 @@ def features(text: str) -> np.ndarray:
     return seen[np.concatenate([[True], seen[1:] != seen[:-1]])]
 
 
+def features(text: str) -> np.ndarray:
+    """The distinct buckets of a text's n-grams, ascending. Long texts are read
+    in pieces that overlap by the longest n-gram less one byte."""
+    data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+    if len(data) <= PIECE:
+        return _buckets(data)
+    seen = np.zeros(1 << BITS, bool)
+    for at in range(0, len(data) - max(ORDERS) + 1, PIECE):
+        seen[_buckets(data[at : at + PIECE + max(ORDERS) - 1])] = True
+    return np.flatnonzero(seen).astype(np.uint32)
+
+
 @dataclass
 class Linear:
     buckets: np.ndarray  # those with a weight, ascending
