@@ -1,4 +1,5 @@
-"""Registered queries of the document operators, each with DuckDB SQL.
+"""Registered queries of the document operators, each with DuckDB SQL;
+``record_queries`` has more of them.
 
 The corpus is ``documents`` rendered to marked-up pages; the SQL computes the
 same answers by arithmetic on line numbers and never parses the rendered text.
@@ -165,8 +166,7 @@ SECTION_PAGES = f"WITH {TOC} SELECT rg.doc_id, toc_no, section_name, printed AS
 
 
 def _sections(spark, d) -> DataFrame:
-    found = pages.ingest_pages(_docs(spark, d))
-    return segments.section_text(segments.toc_ranges(_toc(spark, d), found), found)
+    return segments.sections(_docs(spark, d), _toc(spark, d))
 
 
 def section_text(spark, d) -> DataFrame:
@@ -198,35 +198,36 @@ GREP_SECTION = f"""WITH {TOC}, sl AS (SELECT DISTINCT sec.section_name, pg.* FRO
 
 
 def grep_many(spark, d) -> DataFrame:
-    """The first five words of every benchmark item, and its second word alone."""
-    items = t(spark, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.split("text", " ").alias("w"))
-    five = items.select("pattern_id", F.array_join(F.slice("w", 1, 5), " ").alias("pattern"))
-    one = items.select((F.col("pattern_id") + 100000).alias("pattern_id"), F.get("w", F.lit(1)).alias("pattern"))
+    """Every run of five words of every benchmark item, and its words of 9 letters or more."""
+    items = t(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 5).cast("int")), lambda k: F.array_join(F.slice("w", k * 5 + 1, F.lit(5)), " "))
+    five = items.select("item_id", F.posexplode(runs).alias("k", "pattern")).select((F.col("item_id") * 1000 + F.col("k")).alias("pattern_id"), "pattern")
+    one = items.select("item_id", F.posexplode("w").alias("k", "pattern")).where(F.length("pattern") >= 9).select((F.col("item_id") * 1000 + 500 + F.col("k")).alias("pattern_id"), "pattern")
     return grep.grep_many(_pages(spark, d), five.unionByName(one), 4)
 
 
-GREP_MANY = f"""WITH {LINES}, pat AS (
-  SELECT item_id AS pattern_id, lower(array_to_string(string_split(text, ' ')[1:5], ' ')) AS q FROM benchmark
-  UNION ALL SELECT item_id + 100000, lower(string_split(text, ' ')[2]) FROM benchmark)
+GREP_MANY = f"""WITH {LINES}, w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), pat AS (
+  SELECT item_id * 1000 + k AS pattern_id, lower(array_to_string(w[5 * k + 1:5 * k + 5], ' ')) AS q FROM (SELECT *, unnest(range(0, (len(w) - 1) // 5 + 1)) AS k FROM w)
+  UNION ALL SELECT item_id * 1000 + 500 + k, lower(w[k + 1]) FROM (SELECT *, unnest(range(0, len(w))) AS k FROM w) WHERE length(w[k + 1]) >= 9)
 SELECT * EXCLUDE (k) FROM (SELECT pattern_id, doc_id, printed AS printed_page, p AS physical_page, line, row_number() OVER (PARTITION BY pattern_id, doc_id ORDER BY line) AS k
   FROM pg JOIN pat ON contains(lower(s), q) WHERE s <> '') WHERE k <= 4"""
 
 
 def _quotes(spark, d) -> DataFrame:
-    """Some words of each document's 14th line (on page 1), said to be on page 1 or 2."""
-    rows = F.split("text", "\n", -1)
-    line = F.get(rows, F.lit(13))
-    docs = t(spark, d, "documents").where("text is not null")
-    return docs.select(F.col("doc_id").alias("quote_id"), "doc_id", (F.col("doc_id") % 2 + 1).cast("int").alias("printed_page"), F.when(F.length(line) >= 12, F.substring(line, 3, 25)).otherwise("no such words").alias("quote"))
+    """Some words of every line of 12 or more characters, said to be on page 1 or 2,
+    and words that stand nowhere."""
+    line = F.col("s")
+    docs = t(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "s"))
+    return docs.select((F.col("doc_id") * 100000 + F.col("k")).alias("quote_id"), "doc_id", (F.col("doc_id") % 2 + 1).cast("int").alias("printed_page"), F.when(F.length(line) >= 12, F.substring(line, 3, 25)).otherwise("no such words").alias("quote"))
 
 
 def verify_quotes(spark, d) -> DataFrame:
     return grep.verify_quotes(_pages(spark, d), _quotes(spark, d)).select("quote_id", "status", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-VERIFY_QUOTES = f"""WITH {LINES}, q AS (SELECT doc_id, doc_id % 2 + 1 AS want, lower(CASE WHEN length(l[14]) >= 12 THEN substring(l[14], 3, 25) ELSE 'no such words' END) AS q FROM src),
-h AS (SELECT q.doc_id, bool_or(coalesce(printed = want, false)) AS here, string_agg(DISTINCT printed, ',' ORDER BY printed) AS pages FROM q JOIN pg ON pg.doc_id = q.doc_id AND contains(lower(s), q) GROUP BY q.doc_id)
-SELECT q.doc_id AS quote_id, CASE WHEN here THEN 'found' WHEN here IS NOT NULL THEN 'other page' ELSE 'absent' END AS status, coalesce(pages, '') AS pages FROM q LEFT JOIN h ON h.doc_id = q.doc_id"""
+VERIFY_QUOTES = f"""WITH {LINES}, q AS (SELECT doc_id * 100000 + i AS quote_id, doc_id, doc_id % 2 + 1 AS want, lower(CASE WHEN length(s) >= 12 THEN substring(s, 3, 25) ELSE 'no such words' END) AS q FROM ln),
+h AS (SELECT quote_id, bool_or(coalesce(printed = want, false)) AS here, string_agg(DISTINCT printed, ',' ORDER BY printed) AS pages FROM q JOIN pg ON pg.doc_id = q.doc_id AND contains(lower(s), q) GROUP BY quote_id)
+SELECT q.quote_id, CASE WHEN here THEN 'found' WHEN here IS NOT NULL THEN 'other page' ELSE 'absent' END AS status, coalesce(pages, '') AS pages FROM q LEFT JOIN h ON h.quote_id = q.quote_id"""
 
 
 def page_text(spark, d) -> DataFrame:
@@ -294,7 +295,7 @@ def _flat(df: DataFrame, lists: list[str], ids: str) -> DataFrame:
 
 def reduce_sections(spark, d) -> DataFrame:
     found = reduce.reduce_sections(_analyses(spark, d).withColumn("doc_id", F.col("seg_no") % 40))
-    return _flat(found, ["segment_ids"], "section_name").withColumn("topics_n", F.lit(1)).drop("topics_n")
+    return _flat(found, ["segment_ids"], "section_name")
 
 
 REDUCE_SECTIONS = f"""WITH {ANALYSES.replace("source AS crc", "doc_id % 40 AS crc")}
@@ -334,8 +335,7 @@ def _metric_rows(spark, d) -> DataFrame:
     )
 
 
-METRICS = """m AS (SELECT user_id % 50 AS doc_id, event_type AS name, strftime(ts, '%Y-%m') AS time_period, round_even(value, 0) AS x, round(value, 0) AS numeric_value, 'v' || CAST(round(value, 0) AS BIGINT) AS value_text FROM events)"""
-METRICS = METRICS.replace("round_even(value, 0) AS x, ", "")
+METRICS = """m AS (SELECT user_id % 50 AS doc_id, event_type AS name, strftime(ts, '%Y-%m') AS time_period, round(value, 0) AS numeric_value, 'v' || CAST(round(value, 0) AS BIGINT) AS value_text FROM events)"""
 
 
 def dedup_metrics(spark, d) -> DataFrame:
@@ -363,15 +363,18 @@ ESCALATE_RISKS = """SELECT o_custkey % 100 AS doc_id, o_orderstatus AS risk_cate
 
 
 def merge_entities(spark, d) -> DataFrame:
-    """Nations of a region tied in pairs by a shared alias."""
-    n = t(spark, d, "nation")
-    rows = n.select(F.col("n_regionkey").alias("doc_id"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("Alias "), F.floor(F.col("n_nationkey") / 10).cast("string"))).alias("aliases"))
+    """Customers of a nation in chains: each shares an alias with the next one of
+    its block of eight, so the ends of a chain meet over all that are between."""
+    c = t(spark, d, "customer").withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1)
+    alias = lambda k: F.concat(F.lit("Link "), k.cast("string"))
+    rows = c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_name").alias("name"), F.when(F.col("k") % 8 == 7, F.array(alias(F.col("k")))).otherwise(F.array(alias(F.col("k")), alias(F.col("k") + 1))).alias("aliases"))
     return reduce.merge_entities(rows, ["doc_id"]).select("doc_id", "name", F.array_join("aliases", ",").alias("aliases"))
 
 
-MERGE_ENTITIES = """WITH e AS (SELECT n_regionkey AS doc_id, n_nationkey // 10 AS g, n_name AS s FROM nation UNION SELECT n_regionkey, n_nationkey // 10, 'Alias ' || (n_nationkey // 10) FROM nation),
-x AS (SELECT doc_id, g, s, row_number() OVER (PARTITION BY doc_id, g ORDER BY length(s) DESC, s DESC) AS k FROM e)
-SELECT doc_id, max(CASE WHEN k = 1 THEN s END) AS name, string_agg(s, ',' ORDER BY s) FILTER (k > 1) AS aliases FROM x GROUP BY doc_id, g"""
+MERGE_ENTITIES = """WITH c AS (SELECT c_nationkey AS doc_id, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer),
+e AS (SELECT doc_id, k // 8 AS g, c_name AS s FROM c UNION SELECT doc_id, k // 8, 'Link ' || k FROM c UNION SELECT doc_id, k // 8, 'Link ' || (k + 1) FROM c WHERE k % 8 <> 7),
+x AS (SELECT doc_id, g, s, row_number() OVER (PARTITION BY doc_id, g ORDER BY length(s) DESC, s DESC) AS n FROM e)
+SELECT doc_id, max(CASE WHEN n = 1 THEN s END) AS name, string_agg(s, ',' ORDER BY s) FILTER (n > 1) AS aliases FROM x GROUP BY doc_id, g"""
 
 
 def enumerate_all(spark, d) -> DataFrame:
@@ -422,18 +425,25 @@ SELECT q AS question_id, b AS doc_id, CAST(k AS INTEGER) AS task_no, n AS sectio
 
 
 def routes(spark, d) -> DataFrame:
-    q = t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.concat(F.when(F.col("conv_id") % 3 == 0, "Why and how does it compare: ").when(F.col("conv_id") % 3 == 1, "Where is the exact page of ").otherwise(""), F.lit("it")).alias("question"))
+    """Every message as a question, two thirds of them with cues before it."""
+    cues = F.when(F.col("conv_id") % 3 == 0, "Why and how does it compare, explain ").when(F.col("conv_id") % 3 == 1, "Where is the exact page of ").otherwise("")
+    q = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(cues, F.coalesce("text", F.lit(""))).alias("question"))
     return planner.route(q).select("question_id", "route", "failover")
 
 
-ROUTES = "SELECT conv_id AS question_id, CASE WHEN conv_id % 3 = 0 THEN 'reason' ELSE 'lookup' END AS route, CASE WHEN conv_id % 3 = 0 THEN 'lookup' ELSE 'reason' END AS failover FROM conversations WHERE turn = 0"
+ROUTES = r"""WITH q AS (SELECT conv_id * 1000 + turn AS question_id, list_distinct(regexp_split_to_array(lower(CASE conv_id % 3 WHEN 0 THEN 'Why and how does it compare, explain ' WHEN 1 THEN 'Where is the exact page of ' ELSE '' END || coalesce(text, '')), '[^\p{L}]+')) AS w FROM conversations),
+r AS (SELECT question_id, len(list_intersect(w, ['why', 'how', 'compare', 'summarize', 'summarise', 'explain', 'contradiction', 'trend', 'overall', 'strategy', 'relationship']))
+  > len(list_intersect(w, ['page', 'where', 'find', 'exact', 'quote', 'value', 'number', 'date', 'locate', 'mention'])) AS why FROM q)
+SELECT question_id, CASE WHEN why THEN 'reason' ELSE 'lookup' END AS route, CASE WHEN why THEN 'lookup' ELSE 'reason' END AS failover FROM r"""
 
 
 def skip_existing(spark, d) -> DataFrame:
-    return store.missing_work(t(spark, d, "customer").select("c_custkey", "c_name"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), ["c_custkey"])
+    """Customers without an order of the status P."""
+    stored = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return store.missing_work(t(spark, d, "customer").select("c_custkey", "c_name"), stored, ["c_custkey"])
 
 
-SKIP_EXISTING = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+SKIP_EXISTING = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"
 
 
 def upsert_merge(spark, d) -> DataFrame:

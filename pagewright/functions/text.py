@@ -90,15 +90,20 @@ def preview(text: Column | str, limit: int = 500) -> Column:
 
 
 def token_count(text: Column | str) -> Column:
-    """Tokens by the ratio of four characters to one (H11); a stand-in for a
-    tokenizer whose vocabulary is not at hand."""
+    """Tokens by the ratio of four characters to one (H11), for where no
+    vocabulary is at hand; ``tokens.counter`` counts by one."""
     return F.ceil(F.length(col(text)) / 4).cast("int")
 
 
+def truncated_note(limit: int) -> str:
+    return f"\n\n[truncated at ~{limit} tokens]"
+
+
 def token_truncate(text: Column | str, limit: int = 8000) -> Column:
-    """At most ``limit`` tokens by the same ratio, with a notice."""
+    """At most ``limit`` tokens by the same ratio, with a notice (F7, H12);
+    ``tokens.truncater`` does so by a vocabulary."""
     text = col(text)
-    return F.when(F.length(text) <= limit * 4, text).otherwise(F.concat(F.substring(text, 1, limit * 4), F.lit(f"\n\n[truncated at ~{limit} tokens]")))
+    return F.when(F.length(text) <= limit * 4, text).otherwise(F.concat(F.substring(text, 1, limit * 4), F.lit(truncated_note(limit))))
 
 
 def segment_id(ordinal: Column | str) -> Column:
@@ -128,6 +133,16 @@ def decoded_list(text: Column | str, element: str = "string") -> Column:
     return F.when(text.rlike(r"^\s*\["), F.from_json(text, f"array<{element}>"))
 
 
+def iso_utc(at: Column | str) -> Column:
+    """A time as ISO 8601 in UTC, to the microsecond."""
+    return F.date_format(F.to_utc_timestamp(col(at).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def clamp(number: Column | str, low: int, high: int) -> Column:
+    """``number`` moved into the range."""
+    return F.greatest(F.lit(low), F.least(col(number), F.lit(high)))
+
+
 def usage(payload: Column | str) -> Column:
     """Token counts of a model result in either of two shapes."""
     read = lambda path: F.try_variant_get(F.try_parse_json(col(payload)), path, "int")

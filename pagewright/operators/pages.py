@@ -22,7 +22,7 @@ QUERY_MARKER = r"^\{(\d+)\}-+$"
 INGEST_MARKER = r"\{(\d+)\}-{3,}"
 FOOTER_LEFT = r"^\**\s*(\d{1,4})\s*\**\s*\|\s*.*[A-Za-z].*$"
 FOOTER_RIGHT = r"^.*[A-Za-z].*\s*\|\s*\**\s*(\d{1,4})\s*\**$"
-#: footers of converted items, in the order they are tried
+# fixed values: footers of converted items, in the order they are tried
 ITEM_FOOTERS = [r"^\s*(\d+)\s*$", r"[Pp]age\s+(\d+)", r"(?:^|\|)\s*(\d+)\s*(?:\||$)", r"(\d+)\s*$", r"^\s*(\d+)"]
 
 
@@ -79,17 +79,40 @@ def list_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def _ingested(text: str) -> Column:
+    """The pages of a text by the ingest grammar, as an array within its row."""
+    one = lambda n, t: F.struct(n.alias("page_number"), t.alias("text"))
+    parts, numbers = F.split(text, INGEST_MARKER, -1), F.regexp_extract_all(text, F.lit(INGEST_MARKER), 1)
+    each = lambda t, n: F.when(F.size(n) == 0, F.array(one(F.lit(0), F.get(t, F.lit(0))))).otherwise(F.transform(n, lambda x, i: one(x.try_cast("int"), F.get(t, i + 1))))
+    return X.once(parts, lambda t: X.once(numbers, lambda n: each(t, n)))
+
+
 def ingest_pages(docs: DataFrame) -> DataFrame:
     """One row for each page by the ingest grammar: doc_id, pos, page_number,
     text, printed_page. A text without marker is page 0; what stands before the
     first marker is none (E1, E4). A number that recurs keeps both places, each
     with the text of the last (as a reader by number would get)."""
-    parts = docs.select("doc_id", F.split("text", INGEST_MARKER, -1).alias("_t"), F.regexp_extract_all("text", F.lit(INGEST_MARKER), 1).alias("_n"))
-    pages = F.when(F.size("_n") == 0, F.array(F.struct(F.lit(0).alias("page_number"), F.get("_t", F.lit(0)).alias("text")))).otherwise(F.expr("transform(_n, (n, i) -> struct(try_cast(n as int) as page_number, _t[i + 1] as text))"))
-    pages = parts.select("doc_id", F.posexplode(pages).alias("pos", "_p")).select("doc_id", "pos", "_p.*")
+    pages = docs.select("doc_id", F.posexplode(_ingested("text")).alias("pos", "_p")).select("doc_id", "pos", "_p.*")
     return pages.withColumn("printed_page", footer_number("text"))
 
 
+def printed_pages(text: str) -> Column:
+    """Within a document's row: (printed, pos, text) of the pages with a printed
+    number, in that order, each with the text of the last page of its marker's
+    number, without footer."""
+
+    def last(p: Column, of: Column) -> Column:
+        numbers = F.transform(of, lambda q: q["page_number"])
+        same = F.filter(of, lambda q: q["page_number"].eqNullSafe(p["page_number"]))
+        return F.when(F.size(F.array_distinct(numbers)) == F.size(of), p["text"]).otherwise(F.element_at(same, -1)["text"])
+
+    def read(of: Column) -> Column:
+        named = F.filter(F.transform(of, lambda p, i: F.struct(footer_number(p["text"]).alias("printed"), i.alias("pos"), last(p, of).alias("text"))), lambda x: x["printed"].isNotNull())
+        return F.transform(F.array_sort(named), lambda x: F.struct(x["printed"].alias("printed"), x["pos"].alias("pos"), X.strip(strip_footer(x["text"], x["printed"])).alias("text")))
+
+    return X.once(_ingested(text), read)
+
+
 def _full_lines(text: Column | str) -> Column:
     return F.filter(F.transform(X.lines(X.strip(text)), X.strip), lambda x: x != "")
 
@@ -121,28 +144,33 @@ def first_n_pages(docs: DataFrame, n: int = SETTINGS.toc_pages) -> DataFrame:
     return parts.withColumn("_stop", stop).select("doc_id", F.when(F.size("_n") == 0, F.col("text")).otherwise(F.array_join(shown, "\n\n")).alias("text"))
 
 
-def page_text(pages: DataFrame, requests: DataFrame, limit: int = SETTINGS.page_text_tokens) -> DataFrame:
+def page_text(pages: DataFrame, requests: DataFrame, limit: int = SETTINGS.page_text_tokens, truncate=X.token_truncate) -> DataFrame:
     """Text of printed pages: requests (doc_id, printed_pages) to (doc_id, text,
     missing, found). Pages come in the order asked, repeats included, each under
-    a header; over ``limit`` tokens the text is cut, then a note names missing
-    pages; if none is there the text is null and ``error`` says so; an empty
-    request gives an empty text (F6, F7, J2)."""
-    asked = requests.withColumn("_r", F.monotonically_increasing_id())
-    wanted = asked.select("_r", "doc_id", F.posexplode_outer("printed_pages").alias("_k", "printed_page"))
-    first = Window.partitionBy("doc_id", "printed_page").orderBy("physical_page")
+    a header; over ``limit`` tokens the text is cut (by ``truncate``, which may
+    know a vocabulary), then a note names missing pages; if none is there the
+    text is null and ``error`` says so; an empty request gives an empty text
+    (F6, F7, J2). Equal requests are answered once and returned as often as
+    they were made; pages that nobody asks for go no further."""
+    asked = requests.groupBy("doc_id", "printed_pages").agg(F.count("*").alias("_times"))
+    wanted = asked.select("doc_id", "printed_pages", F.posexplode_outer("printed_pages").alias("_k", "printed_page"))
+    named = wanted.select("doc_id", "printed_page").distinct()
     # a page shows its whole range, not just the lines that no later page claims
-    whole = pages.where("printed_page is not null").withColumn("_f", F.row_number().over(first)).where("_f = 1")
-    body = whole.select("doc_id", "printed_page", X.strip(F.array_join(F.transform("page_lines", lambda x: x["text"]), "\n")).alias("_body"))
-    got = wanted.join(body, ["doc_id", "printed_page"], "left")
+    body = F.min_by(F.transform("page_lines", lambda x: x["text"]), "physical_page")
+    shown = pages.join(named, ["doc_id", "printed_page"], "left_semi").groupBy("doc_id", "printed_page").agg(X.strip(F.array_join(body, "\n")).alias("_body"))
+    got = wanted.join(shown, ["doc_id", "printed_page"], "left")
     part = F.struct(F.col("_k"), F.col("printed_page").alias("p"), F.col("_body").alias("b"))
-    grouped = got.groupBy("_r").agg(F.array_sort(F.collect_list(F.when(F.col("printed_page").isNotNull(), part))).alias("_x"))
+    grouped = got.groupBy("doc_id", "printed_pages").agg(F.array_sort(F.collect_list(F.when(F.col("printed_page").isNotNull(), part))).alias("_x"))
     there, missing = F.filter("_x", lambda x: x["b"].isNotNull()), F.transform(F.filter("_x", lambda x: x["b"].isNull()), lambda x: x["p"])
     joined = F.array_join(F.transform(there, lambda x: F.concat(F.lit("--- Printed page "), x["p"].cast("string"), F.lit(" ---\n"), x["b"])), "\n\n")
     note = F.when(F.size("missing") > 0, F.concat(F.lit("\n\n[note: printed pages with no footer mapping skipped: ["), F.array_join(F.col("missing").cast("array<string>"), ", "), F.lit("]]"))).otherwise("")
-    out = asked.join(grouped, "_r", "left").withColumn("missing", missing).withColumn("found", F.size(there)).withColumn("_j", joined)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("doc_id", "printed_pages")]
+    out = asked.alias("a").join(grouped.alias("g"), same).select("a.doc_id", "a.printed_pages", "_times", "_x")
+    out = out.withColumn("missing", missing).withColumn("found", F.size(there)).withColumn("_j", joined)
     none = (F.col("found") == 0) & (F.size("missing") > 0)
     error = F.when(none, F.concat(F.lit("none of the printed pages is mapped: ["), F.array_join(F.col("missing").cast("array<string>"), ", "), F.lit("]")))
-    return out.select("doc_id", "printed_pages", F.when(~none, F.concat(X.token_truncate("_j", limit), note)).alias("text"), "missing", "found", error.alias("error"))
+    out = out.select("doc_id", "printed_pages", F.when(~none, F.concat(truncate("_j", limit), note)).alias("text"), "missing", "found", error.alias("error"), "_times")
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_n", "_times")
 
 
 def item_footer(text: Column | str) -> Column:

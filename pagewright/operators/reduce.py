@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..lineage import cut
 
 RANKS = ("low", "medium", "high")
+# fixed value: a record keeps this many salient quotes
+QUOTES = 10
 
 
 def rank(level: Column | str) -> Column:
@@ -95,7 +98,9 @@ def merge_entities(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     others, become one: the longest name, all others as sorted aliases.
 
     Names spread to the least label through shared names until nothing changes;
-    each round is one aggregation, and groups are never gathered in one task."""
+    each round is a few aggregations whose result is written to the shared
+    folder, and groups are never gathered in one task. Null keys are groups
+    like others."""
     base = rows.select(*keys, "name", F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_all"))
     entity = base.groupBy(*keys, gist("name").alias("label")).agg(F.array_distinct(F.flatten(F.collect_list("_all"))).alias("_all"))
     link = entity.select(*keys, F.col("label").alias("me"), F.explode("_all").alias("spelling")).withColumn("key", gist("spelling")).distinct()
@@ -103,8 +108,10 @@ def merge_entities(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     last = None
     while True:
         by_key = link.join(label, [*keys, "me"]).groupBy(*keys, "key").agg(F.min("label").alias("label"))
-        label = link.join(by_key, [*keys, "key"]).groupBy(*keys, "me").agg(F.min("label").alias("label"))
-        label = label.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else label.persist()
+        near = link.join(by_key, [*keys, "key"]).groupBy(*keys, "me").agg(F.min("label").alias("label"))
+        # and on to the label of that label, so that rounds follow the logarithm of a chain
+        over = near.select(*keys, F.col("me").alias("label"), F.col("label").alias("_far"))
+        label = cut(near.join(over, [*keys, "label"], "left").select(*keys, "me", F.least("label", "_far").alias("label")))
         mark = label.agg(F.count("*"), F.sum(F.xxhash64("me", "label").cast("decimal(38,0)"))).first()
         if mark == last:
             break
@@ -140,42 +147,63 @@ def error_digest(errors: Column | str) -> Column:
     return F.concat(F.array_join(F.slice(errors, 1, 3), "; "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
 
 
-def reduce_sections(analyses: DataFrame) -> DataFrame:
-    """Segment analyses to section records."""
-    named = analyses.withColumn("section_name", F.coalesce("section_name", F.lit("")))
-    ordered = lambda what: F.transform(F.array_sort(F.collect_list(F.struct("seg_no", F.col(what).alias("v")))), lambda x: x["v"])
-    return named.groupBy("doc_id", "section_name").agg(
+TEXTS = ("topics", "salient_quotes", "notable_other")
+
+
+def reduce_sections(analyses: DataFrame, quotes: int = QUOTES) -> DataFrame:
+    """Segment analyses to section records (D1, D3, D4, D6-D10, D17). Of the
+    distinct quotes of a record the first ``quotes`` stay: its salient ones;
+    topics and other notable texts all stay."""
+    named = analyses.withColumn("section_name", F.coalesce("section_name", F.lit(""))).withColumn("_at", F.struct("seg_no"))
+    records = named.groupBy("doc_id", "section_name").agg(
         F.coalesce(F.min_by("chapter_name", "seg_no"), F.lit("")).alias("chapter_name"),
         _pages().alias("pages"),
-        ordered("seg_id").alias("segment_ids"),
-        *_merged(ordered),
+        _ordered("seg_id").alias("segment_ids"),
+        *_merged(),
     )
+    return _with_texts(records, named, ["doc_id", "section_name"], quotes)
 
 
-def reduce_chapters(sections: DataFrame) -> DataFrame:
+def reduce_chapters(sections: DataFrame, quotes: int = QUOTES) -> DataFrame:
     """Section records to chapter records (D2, D3, D5, D7-D10, D17); sections
     stand by their least page, those without pages last."""
     least = F.coalesce(F.array_min("pages"), F.lit(1_000_000_000))
-    ordered = lambda what: F.transform(F.array_sort(F.collect_list(F.struct(F.col("_least").alias("p"), F.col("section_name").alias("s"), F.col(what).alias("v")))), lambda x: x["v"])
-    named = sections.withColumn("chapter_name", F.coalesce("chapter_name", F.lit(""))).withColumn("_least", least)
-    return named.groupBy("doc_id", "chapter_name").agg(_pages().alias("pages"), ordered("section_name").alias("section_names"), *_merged(ordered))
+    named = sections.withColumn("chapter_name", F.coalesce("chapter_name", F.lit(""))).withColumn("_at", F.struct(least.alias("page"), F.col("section_name")))
+    records = named.groupBy("doc_id", "chapter_name").agg(_pages().alias("pages"), _ordered("section_name").alias("section_names"), *_merged())
+    return _with_texts(records, named, ["doc_id", "chapter_name"], quotes)
 
 
 def _pages() -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("pages", F.array().cast("array<int>"))))))
 
 
-def _merged(ordered) -> list[Column]:
-    def union(what: str) -> Column:
-        flat = F.flatten(ordered(what))
-        return F.filter(flat, lambda x, i: F.array_position(F.transform(flat, gist), gist(x)) == i + 1)
+def _ordered(what: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(what).alias("v")))), lambda x: x["v"])
+
 
+def _merged() -> list[Column]:
     return [
         worst_confidence("ocr_confidence").alias("ocr_confidence"),
         F.coalesce(F.bool_or("has_table"), F.lit(False)).alias("has_table"),
         F.coalesce(F.bool_or("has_figure"), F.lit(False)).alias("has_figure"),
         common_sentiment("sentiment").alias("sentiment"),
-        F.array_join(ordered("summary"), " ").alias("summary"),
-        union("topics").alias("topics"),
-        F.slice(union("salient_quotes"), 1, 10).alias("salient_quotes"),
+        F.array_join(_ordered("summary"), " ").alias("summary"),
     ]
+
+
+def _with_texts(records: DataFrame, rows: DataFrame, keys: list[str], quotes: int) -> DataFrame:
+    """The records with their distinct texts of each kind, first spelling kept,
+    in order: one flat table of all kinds, aggregated in parts."""
+    kinds = [t for t in TEXTS if t in rows.columns]
+    marked = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x.alias("text"))
+    each = F.flatten(F.array(*[F.transform(F.coalesce(F.col(t), F.array().cast("array<string>")), marked(t)) for t in kinds]))
+    flat = rows.select(*keys, "_at", F.explode(each).alias("_x")).where(F.col("_x.text").isNotNull())
+    first = flat.groupBy(*keys, F.col("_x.kind").alias("kind"), gist("_x.text").alias("gist")).agg(F.min(F.struct("_at", F.col("_x.i").alias("i"), F.col("_x.text").alias("text"))).alias("v"))
+    sides = first.groupBy(*keys).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == t, F.col("v")))), lambda x: x["text"]).alias(t) for t in kinds])
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    both = records.alias("r").join(sides.alias("t"), same, "left")
+    none = F.array().cast("array<string>")
+    shown = {t: F.coalesce(F.col(f"t.{t}"), none) for t in kinds}
+    if "salient_quotes" in shown:
+        shown["salient_quotes"] = F.slice(shown["salient_quotes"], 1, quotes)
+    return both.select("r.*", *[c.alias(t) for t, c in shown.items()])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import SETTINGS
 from ..functions import text as X
-from .pages import ingest_pages, strip_footer
+from .pages import printed_pages, strip_footer
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -44,6 +44,32 @@ def section_text(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("text", F.array_join(F.transform("_p", lambda x: x["_t"]), "\n\n")).drop("_p").where(F.length("text") > 0)
 
 
+def sections(docs: DataFrame, toc: DataFrame) -> DataFrame:
+    """``section_text`` straight from documents: pages, footers and the scopes of
+    a document's contents are arrays of its row, so only the contents are
+    gathered and the texts meet them in one join (C1, C2, B8, B9, E2, E12)."""
+    entry = F.struct("page_number", "pos", "section_name", "chapter_name")
+    contents = toc.where("page_number is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_toc"))
+
+    def scoped(held: Column) -> Column:
+        most = F.array_max(F.transform(held, lambda p: p["printed"]))
+
+        def one(e: Column, i: Column) -> Column:
+            ends = F.greatest(e["page_number"], F.coalesce(F.get(F.col("_toc"), i + 1)["page_number"] - 1, most))
+            inside = F.filter(held, lambda p: p["printed"].between(e["page_number"], ends))
+            return X.once(inside, lambda x: F.struct(
+                i.alias("toc_no"), e["section_name"].alias("section_name"), e["chapter_name"].alias("chapter_name"),
+                F.array_distinct(F.transform(x, lambda p: p["printed"])).alias("pages"),
+                F.array_join(F.filter(F.transform(x, lambda p: p["text"]), lambda t: t != ""), "\n\n").alias("text"),
+            ))
+
+        return F.transform("_toc", one)
+
+    both = docs.select("doc_id", "text").join(contents, "doc_id")
+    each = both.select("doc_id", F.explode(X.once(printed_pages("text"), scoped)).alias("_s"))
+    return each.select("doc_id", "_s.*").where(F.length("text") > 0)
+
+
 def chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Recursive character chunking: split at the first separator that occurs,
     keeping it at the start of the next piece; join pieces up to ``size``; carry
@@ -80,8 +106,9 @@ def chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEP
     return out
 
 
-def chunked(sections: DataFrame, size: int = SETTINGS.chunk_chars, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
-    """Segments of sections: seg_no counts through the document."""
+def chunked(sections: DataFrame, size: int = SETTINGS.chunk_chars, overlap: int = SETTINGS.chunk_overlap, count=X.token_count) -> DataFrame:
+    """Segments of sections: seg_no counts through the document (H10, E7, H14, J13);
+    ``count`` gives the tokens of a text."""
 
     def run(frames):
         for frame in frames:
@@ -91,7 +118,7 @@ def chunked(sections: DataFrame, size: int = SETTINGS.chunk_chars, overlap: int
 
     schema = sections.drop("text").schema.add("chunks", T.ArrayType(T.StringType()))
     each = sections.select(*sections.drop("text").columns, "text").mapInPandas(run, schema)
-    return numbered(each.select("*", F.posexplode("chunks").alias("chunk_no", "text")).drop("chunks"))
+    return numbered(each.select("*", F.posexplode("chunks").alias("chunk_no", "text")).drop("chunks"), count)
 
 
 def fixed_width(sections: DataFrame, size: int) -> DataFrame:
@@ -101,22 +128,23 @@ def fixed_width(sections: DataFrame, size: int) -> DataFrame:
     return numbered(each)
 
 
-def numbered(segments: DataFrame) -> DataFrame:
+def numbered(segments: DataFrame, count=X.token_count) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("toc_no", "chunk_no")
     out = segments.withColumn("seg_no", F.row_number().over(order) - 1)
-    return out.select("doc_id", "seg_no", X.segment_id("seg_no").alias("seg_id"), "section_name", "chapter_name", "pages", X.token_count("text").alias("token_count"), "text")
+    return out.select("doc_id", "seg_no", X.segment_id("seg_no").alias("seg_id"), "section_name", "chapter_name", "pages", count("text").alias("token_count"), "text")
 
 
 def segments(docs: DataFrame, toc: DataFrame, size: int = SETTINGS.chunk_chars, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """Documents and their tables of contents to segments (K1)."""
-    pages = ingest_pages(docs)
-    return chunked(section_text(toc_ranges(toc, pages), pages), size, overlap)
+    return chunked(sections(docs, toc), size, overlap)
 
 
-def analyzed(segments: DataFrame) -> DataFrame:
+def analyzed(segments: DataFrame, topics: int = 5, quotes: int = 3) -> DataFrame:
     """A deterministic analysis of each segment (J11): cues for tables and
     figures, sentiment by cue words, figures with a unit as metrics, capitalised
-    phrases as entities, sentences that warn as risks."""
+    phrases as entities, sentences that warn as risks. The first ``topics`` long
+    words are its topics and the first ``quotes`` sentences its quotes: a choice
+    of the most telling, as the schema of an analysis asks for."""
     text = F.col("text")
     words = F.split(F.lower(text), r"[^\p{L}]+")
     good = F.size(F.filter(words, lambda w: w.isin("growth", "strong", "improved", "record", "gain", "success")))
@@ -133,12 +161,12 @@ def analyzed(segments: DataFrame) -> DataFrame:
         text.rlike(r"(?m)^.*\S\s*\|\s*\S.*$").alias("has_table"),
         text.rlike(r"(?m)!\[.*\]\(|^Figure: ").alias("has_figure"),
         F.get(sentences, F.lit(0)).alias("summary"),
-        F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 8)), 1, 5).alias("topics"),
+        F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 8)), 1, topics).alias("topics"),
         sentiment.alias("sentiment"),
         F.transform(entities, lambda e: F.struct(e.alias("name"), F.array().cast("array<string>").alias("aliases"))).alias("key_entities"),
         metrics.alias("metrics"),
         risks.alias("risks"),
-        F.slice(sentences, 1, 3).alias("salient_quotes"),
+        F.slice(sentences, 1, quotes).alias("salient_quotes"),
     )
 
 

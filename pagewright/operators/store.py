@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,15 +76,62 @@ def catalogue_json(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(F.array_min("pages"), F.lit(1_000_000_000)).alias("p"), "section_name", one.alias("s")))), lambda x: x["s"])).alias("catalogue"))
 
 
-def create_tables(spark, database: str = "default") -> list[str]:
-    """The chat store's tables, made where they are not there yet."""
-    ddl = {
-        "users": "id string, identifier string, metadata string, createdAt string",
-        "threads": "id string, createdAt string, name string, userId string, userIdentifier string, tags string, metadata string",
-        "steps": "id string, name string, type string, threadId string, parentId string, input string, output string, isError boolean, metadata string, createdAt string, startTime string, endTime string",
-        "feedbacks": "id string, forId string, threadId string, value int, comment string",
-        "elements": "id string, threadId string, type string, url string, name string, forId string, mime string",
-    }
-    for name, columns in ddl.items():
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a record table, ascending."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [s.getPath() for s in files.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of the latest complete version, or none yet."""
+    known = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
+
+
+def save(new: DataFrame, path: str, keys: Sequence[str]) -> int:
+    """``new`` merged into the records at ``path`` and written as the
+    next version, whose number is returned. Keys that repeat in ``new`` are an
+    error, and so is a version that another run wrote meanwhile: a folder that
+    exists is never written to, and readers see complete versions only."""
+    spark = new.sparkSession
+    twice = duplicates(new, keys).first()
+    if twice is not None:
+        raise ValueError(f"key occurs more than once: {twice.asDict()}")
+    known = _versions(spark, path)
+    version = known[-1] + 1 if known else 0
+    old = load(spark, path)
+    (new if old is None else upsert(old, new, keys)).write.mode("errorifexists").parquet(f"{path}/v={version}")
+    return version
+
+
+def progress(work: DataFrame, stored: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """How much work is done, missing and there in all, by group if asked."""
+    marked = work.join(stored.select(*keys).distinct().withColumn("_done", F.lit(True)), list(keys), "left")
+    return marked.groupBy(*by).agg(F.count_if(F.col("_done").isNotNull()).alias("done"), F.count_if(F.col("_done").isNull()).alias("missing"), F.count("*").alias("total"))
+
+
+# fixed values: tables and columns of the chat store
+CHAT = {
+    "users": "id string, identifier string, metadata string, createdAt string",
+    "threads": "id string, createdAt string, name string, userId string, userIdentifier string, tags string, metadata string",
+    "steps": "id string, name string, type string, threadId string, parentId string, input string, output string, isError boolean, metadata string, createdAt string, startTime string, endTime string",
+    "feedbacks": "id string, forId string, threadId string, value int, comment string",
+    "elements": "id string, threadId string, type string, url string, name string, forId string, mime string",
+}
+
+
+def create_tables(spark: SparkSession, database: str = "default", tables: dict[str, str] = CHAT) -> list[str]:
+    """The chat store's tables, made where they are not there yet;
+    columns that an older table lacks are added."""
+    for name, columns in tables.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
-    return list(ddl)
+        there = {c.lower() for c in spark.table(f"{database}.{name}").columns}
+        lacking = [c for c in columns.split(", ") if c.split()[0].lower() not in there]
+        if lacking:
+            spark.sql(f"ALTER TABLE {database}.{name} ADD COLUMNS ({', '.join(lacking)})")
+    return list(tables)

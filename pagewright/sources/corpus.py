@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..retry import retried
 
 LINES_PER_PAGE = 12
 
@@ -52,7 +53,8 @@ def write_markdown(docs: DataFrame, path: str) -> None:
 
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of table-of-contents files ``<stem>.toc.json``."""
+    """Entries of table-of-contents files ``<stem>.toc.json``, a JSON array each
+    (A6). What ``write_toc`` wrote holds its doc_id and is read as plain JSON."""
     entries = spark.read.schema("section_name string, chapter_name string, page_number string").json(path, multiLine=True)
     named = entries.withColumn("doc_id", F.regexp_replace(_stem(), r"\.toc$", ""))
     return named.select("doc_id", "section_name", "chapter_name", F.expr("try_cast(page_number as int)").alias("page_number"))
@@ -65,9 +67,10 @@ def write_toc(toc: DataFrame, path: str) -> None:
 SEGMENT = "struct<seg_id: string, section_name: string, chapter_name: string, pages: array<int>, token_count: int, text: string>"
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of segmentation files {doc_id, segments}."""
-    files = spark.read.schema(f"doc_id string, segments array<{SEGMENT}>").json(path, multiLine=True)
+def read_segments(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """Segments of segmentation files {doc_id, segments}, one object a file or, as
+    ``write_segments`` leaves them, one object a line (A7)."""
+    files = spark.read.schema(f"doc_id string, segments array<{SEGMENT}>").json(path, multiLine=not one_a_line)
     return files.select("doc_id", F.inline("segments"))
 
 
@@ -84,20 +87,23 @@ def cached_or_new(cached: DataFrame, wanted: DataFrame, make) -> DataFrame:
 
 
 def converted(spark: SparkSession, path: str, converter) -> DataFrame:
-    """Binary files turned to markdown by a user's function bytes -> text (A2)."""
+    """Binary files turned to markdown by a user's function bytes -> text (A2);
+    errors of a service it calls are retried, others fail the job (K6)."""
 
     def run(frames):
+        call = retried(converter)
         for frame in frames:
-            frame["text"] = [converter(bytes(b)) for b in frame["content"]]
+            frame["text"] = [call(bytes(b)) for b in frame["content"]]
             yield frame[["doc_id", "text"]]
 
     files = spark.read.format("binaryFile").load(path).select(X.file_stem("path").alias("doc_id"), "content")
     return files.mapInPandas(run, "doc_id string, text string")
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Run traces, one JSON object a file."""
-    return spark.read.json(path, multiLine=True)
+def read_traces(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """Run traces, one JSON object a file or, as ``write_traces`` leaves them, one
+    object a line (M17)."""
+    return spark.read.json(path, multiLine=not one_a_line)
 
 
 def write_traces(traces: DataFrame, path: str) -> bool:

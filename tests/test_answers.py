@@ -45,7 +45,7 @@ def test_files(spark, tmp_path):
     columns = "doc_id string, seg_no int, seg_id string, section_name string, chapter_name string, pages array<int>, token_count int, text string"
     rows = spark.createDataFrame([("d", 1, "s_001", "S", "C", [1], 2, "t1"), ("d", 0, "s_000", "S", "C", [1], 2, "t0")], columns)
     corpus.write_segments(rows, str(tmp_path / "seg"))
-    assert [r.seg_id for r in corpus.read_segments(spark, str(tmp_path / "seg")).collect()] == ["s_000", "s_001"]
+    assert [r.seg_id for r in corpus.read_segments(spark, str(tmp_path / "seg"), one_a_line=True).collect()] == ["s_000", "s_001"]
     assert corpus.write_traces(rows, str(tmp_path / "t")) and not corpus.write_traces(rows, "nowhere://x")
     upper = corpus.converted(spark, str(tmp_path / "md"), lambda data: data.decode().upper())
     assert upper.first().text == DOC.upper()

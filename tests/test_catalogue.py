@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from pagewright.catalogue import CATALOGUE
+from __spark_entry__ import CATALOGUE
 
 from .oracle import connect, same
 
