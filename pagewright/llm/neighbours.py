@@ -156,8 +156,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
                 a, b, c = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "id", "score"])
 
-    # some tasks more than blocks, so that few of them get two
-    pairs = data.unionByName(asks).repartition(min(4 * blocks, 100_000), "block").sortWithinPartitions("block", "asks", "part")
+    # more tasks than blocks, so that few of them get two
+    pairs = data.unionByName(asks).repartition(blocks * (16 if blocks < 64 else 2), "block").sortWithinPartitions("block", "asks", "part")
     best = pairs.mapInArrow(run, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

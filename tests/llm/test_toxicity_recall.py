@@ -13,6 +13,6 @@ def test_held_out_recall_on_short_and_long_documents():
     model = toxicity.train([(t, y) for (_, t, y), k in zip(rows, kept, strict=True) if not k])
     found = [(model.score(t) >= toxicity.THRESHOLD, y, len(t)) for (_, t, y), k in zip(rows, kept, strict=True) if k]
     toxic = [(hit, n) for hit, y, n in found if y == 1]
-    assert len(toxic) == 144 and sum(hit for hit, _ in toxic) >= 125
+    assert len(toxic) == 144 and sum(hit for hit, _ in toxic) >= 130
     assert sum(hit for hit, n in toxic if n >= 10_000) >= 3
     assert sum(hit for hit, y, _ in found if y == 0) <= 2
