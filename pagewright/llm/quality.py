@@ -1,19 +1,26 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-A text is a vector of hashed words, pairs of token shapes (small, capital, all
-capitals, digit, sign: 25 pairs) and a few surface shares; which words stand
-side by side isn't seen beyond their shapes.  All grades share one weight vector; ordered thresholds cut the weighted sum, so
+A text is a vector of hashed words, as they stand and in lower case, of the
+first six letters of longer words, of pairs of token shapes (small, capital, all
+capitals, digit, sign: 25 pairs) and of a few surface shares; which words stand
+side by side isn't seen beyond their shapes.  All grades share one weight
+vector; ordered thresholds cut the weighted sum, so
 P(grade > j) = sigmoid(w x - t_j) with t_0 < t_1 < ...  The thresholds are kept
-in order by training the first and the logarithms of the gaps.  The model gives
-the expected grade and the chance of each tail, by which texts are selected.
+in order by training the first and the logarithms of the gaps.  Each grade has
+the same weight in training, however many texts have it, so tails are chances
+where grades are equally frequent.  The model gives the expected grade and the
+chance of each tail, by which texts are selected.
 
-Training takes at most ``TRAIN_DOCS`` labelled rows (those of least hash), of
-whole texts; scoring reads all words of every text.
+Training takes at most ``TRAIN_DOCS`` labelled keys (those of least hash), as
+far as their whole texts hold ``_shared.TRAIN_BYTES`` together; scoring reads
+all words of every text.
 
 Defined cases: null text is empty text, which has the offset's grade; rows of
-null grade are not learned from; grades may be any integers and are ranked;
-with one grade or none every text has it (or null); repeated rows are scored
-each; other columns are kept and columns named like the results replaced.
+null grade or null key are not learned from, nor keys with several texts or
+several grades; repeated rows are learned from once and scored each; grades may
+be any integers and are ranked; with one grade or none every text has it (or
+null); an empty table gives no row; other columns are kept and columns named
+like the results replaced.
 """
 
 from __future__ import annotations
@@ -36,9 +43,10 @@ from ._shared import pieces, small_batches, table, texts, training_rows
 
 TRAIN_DOCS = 6000
 BITS = 16
-EPOCHS = 200
+EPOCHS = 500
 PENALTY = 1e-4
 SURFACE = 8
+PREFIX = 6
 TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
 
@@ -65,6 +73,12 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     for pair, times in Counter(map(add, order, order[1:])).items():
         bucket = crc32(pair.encode(), 1) >> 32 - BITS
         kinds[bucket] = kinds.get(bucket, 0) + times
+    low: dict[int, int] = {}
+    for token, times in Counter(map(str.lower, tokens)).items():
+        parts = (token, token[:PREFIX]) if len(token) > PREFIX else (token,)
+        for seed, part in enumerate(parts, 2):
+            bucket = crc32(part.encode(), seed) >> 32 - BITS
+            low[bucket] = low.get(bucket, 0) + times
     lines = text.split("\n")
     chars = len(text) or 1
     surface = [
@@ -77,9 +91,12 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         min(1.0, math.log1p(len(tokens)) / 10),
         0.0 if tokens else 1.0,
     ]
-    buckets = np.array([*kinds, *range(1 << BITS, (1 << BITS) + SURFACE)], np.int64)
-    values = np.array([*kinds.values(), *surface], np.float64)
+    buckets = np.array([*kinds, *low, *range(1 << BITS, (1 << BITS) + SURFACE)], np.int64)
+    values = np.array([*kinds.values(), *low.values(), *surface], np.float64)
     values[: len(kinds)] = np.sqrt(values[: len(kinds)] / n)
+    # by presence more than by share: a word that tells may stand once in a long text
+    part = slice(len(kinds), len(kinds) + len(low))
+    values[part] = np.sqrt(np.minimum(values[part], 3) / (len(low) + 1))
     return buckets, values
 
 
@@ -99,7 +116,45 @@ class Ordinal:
         return _sigmoid(self.weights[buckets] @ values - self.cuts)
 
 
+@dataclass
+class Sample:
+    """Training texts as one sparse matrix."""
+
+    rows: np.ndarray
+    place: np.ndarray
+    values: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray  # of each text, one on average
+
+
+def cuts_of(base: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    return np.concatenate([base, base + np.cumsum(np.exp(gaps))])
+
+
+def objective(params: list[np.ndarray], sample: Sample) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log likelihood with the penalty, and its slopes in the
+    weights, the first threshold and the logarithms of the gaps."""
+    w, base, gaps = params
+    y, at, n = sample.y, np.arange(len(sample.y)), len(sample.y)
+    cuts = cuts_of(base, gaps)
+    tail = _sigmoid(np.bincount(sample.rows, sample.values * w[sample.place], n)[:, None] - cuts)
+    # P(y = j) = tail[j-1] - tail[j]; slope of its logarithm in the sum and in the cuts
+    wide = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
+    chance = np.maximum(wide[at, y] - wide[at, y + 1], 1e-12)
+    loss = -(sample.weight * np.log(chance)).mean() + PENALTY * (w @ w) / 2
+    bend = wide * (1 - wide)
+    upper, lower = sample.weight * bend[at, y] / chance, sample.weight * bend[at, y + 1] / chance
+    dcuts = np.zeros((n, len(cuts) + 2))
+    dcuts[at, y] += upper
+    dcuts[at, y + 1] -= lower
+    dcuts = dcuts[:, 1:-1].sum(0) / n
+    dgaps = np.array([dcuts[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])
+    dz = (lower - upper) / n
+    return loss, [np.bincount(sample.place, sample.values * dz[sample.rows], len(w)) + PENALTY * w, np.array([dcuts.sum()]), dgaps]
+
+
 def train(samples: list[tuple[str, int]]) -> Ordinal | None:
+    """Adam on the whole sample."""
     grades = sorted({g for _, g in samples})
     size = (1 << BITS) + SURFACE
     if len(grades) < 2:
@@ -108,37 +163,20 @@ def train(samples: list[tuple[str, int]]) -> Ordinal | None:
     parts = [features(t) for t, _ in samples]
     rows = np.repeat(np.arange(len(y)), [len(b) for b, _ in parts])
     used, place = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
-    values = np.concatenate([v for _, v in parts])
-    share = np.array([(y > j).mean() for j in range(len(grades) - 1)])
-    start = -np.log((share + 1e-6) / (1 - share + 1e-6))
+    weight = len(y) / (len(grades) * np.bincount(y))
+    sample = Sample(rows, place, np.concatenate([v for _, v in parts]), y, weight[y])
+    start = -np.log([(len(grades) - j) / j for j in range(1, len(grades))])
     params = [np.zeros(len(used)), start[:1].copy(), np.log(np.maximum(np.diff(start), 0.1))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    at = np.arange(len(y))
     for step in range(1, EPOCHS + 1):
-        w, base, gaps = params
-        cuts = np.concatenate([base, base + np.cumsum(np.exp(gaps))])
-        z = np.bincount(rows, values * w[place], len(y))
-        tail = _sigmoid(z[:, None] - cuts)
-        # P(y = j) = tail[j-1] - tail[j]; slope of its logarithm in z and in the cuts
-        wide = np.concatenate([np.ones((len(y), 1)), tail, np.zeros((len(y), 1))], 1)
-        chance = np.maximum(wide[at, y] - wide[at, y + 1], 1e-12)
-        bend = wide * (1 - wide)
-        upper, lower = bend[at, y] / chance, bend[at, y + 1] / chance
-        dz = -(upper - lower) / len(y)
-        dcuts = np.zeros((len(y), len(grades) + 1))
-        dcuts[at, y] += upper
-        dcuts[at, y + 1] -= lower
-        dcuts = dcuts[:, 1:-1].sum(0) / len(y)
-        dgaps = np.array([dcuts[j + 1 :].sum() * np.exp(gaps[j]) for j in range(len(gaps))])
-        slopes = [np.bincount(place, values * dz[rows], len(used)) + PENALTY * w, np.array([dcuts.sum()]), dgaps]
-        for p, g, a, b in zip(params, slopes, first, second, strict=True):
+        for p, g, a, b in zip(params, objective(params, sample)[1], first, second, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
     w, base, gaps = params
     weights = np.zeros(size)
     weights[used] = w
-    return Ordinal(grades, weights, np.concatenate([base, base + np.cumsum(np.exp(gaps))]))
+    return Ordinal(grades, weights, cuts_of(base, gaps))
 
 
 def fit(docs: DataFrame, graded: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", limit: int = TRAIN_DOCS) -> Ordinal | None:
@@ -170,13 +208,14 @@ SELECT_TAIL = 0.5
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    """Grades: 0 low quality, 1 good but toxic, 2 good; selected by the chance
-    of a grade over 0."""
+    """Grades where both ratings are known, or quality is 0: 0 low quality, 1
+    good but toxic, 2 good and not; selected by the chance of a grade over 0."""
     from .language import held_out
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     rated = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    good = F.col("quality") == 1
+    grade = F.when(F.col("quality") == 0, 0).when(good & (F.col("toxic") == 1), 1).when(good & (F.col("toxic") == 0), 2)
     model = fit(docs, rated.where(~held_out("doc_id", 5, 3)).select("doc_id", grade.alias("grade")))
     found = predict(docs, model).drop("text")
     tail = F.coalesce(F.get("tails", F.lit(0)), F.lit(1.0))
