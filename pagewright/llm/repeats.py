@@ -2,10 +2,11 @@
 
 A rolling hash of 16 bytes picks triggers: every 50-byte window has one, the
 leftmost place of its least hash, which depends on the window's bytes alone.
-Consecutive windows of one trigger form a phrase, so the parse of a document is
-its sequence of phrases and the dictionary is the set of distinct phrases.
-Highly repetitive text has few distinct phrases, and most of the work is done
-on these:
+Consecutive windows of one trigger form a phrase, which holds all bytes of its
+windows, so neighbouring phrases overlap and no window lies in two of them only
+in part.  The parse of a document is its sequence of phrases, the dictionary is
+the set of distinct phrases.  Highly repetitive text has few distinct phrases,
+and most of the work is done on these:
 
 1. documents are packed into blocks; each block names its distinct triggers,
    and triggers that no other document has are left out from then on;
@@ -17,13 +18,25 @@ on these:
    windows an earlier document has;
 3. the answers go back to the blocks as bits, and covered bytes are cut.
 
-Only hashes, distinct phrases and bits are shuffled besides the packed blocks.
-Buckets follow the size of the input, so a task's share stays the same.  The
+This departs from the textbook in one point.  There a phrase ends at a trigger,
+a suffix shorter than the string looked for is told apart by the rank of the
+rest of the parse, and so the parse needs a suffix array of its own; here a
+phrase goes on to the end of its last window, so a window's place in the order
+follows from the dictionary's suffixes alone and the parse only has to give the
+first document.  A suffix array of the whole corpus would take several times
+the disk that is allowed, and suffixes whose hash nothing else has aren't sorted.
+
+A trigger that more than ``HOT`` blocks have (a licence line, padding) is hot:
+its phrases are first folded over ``FAN`` blocks at a time, judged, and the
+answers unfolded, so a task's share follows the distinct phrases and the number
+of such sets of blocks.  Only hashes, distinct phrases and bits are shuffled
+besides the packed blocks.  Buckets follow the size of the input.  The
 comparison is of bytes, not of hashes: nothing is missed or removed in error.
 
 Defined cases: null text is empty; texts shorter than a window stay whole; rows
 of one id don't remove from each other; a null id counts as larger than all
-others; an empty table gives no row; other columns are ignored.
+others; an empty table gives no row; other columns are ignored.  Ids are 64-bit
+numbers less than the largest, which stands for null.
 """
 
 from __future__ import annotations
@@ -43,6 +56,8 @@ TRIGGER = 16
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 15
 LEAST_BUCKETS = 256
+#: blocks that a trigger may be in before its phrases are folded, blocks that are folded together
+HOT, FAN = 64, 64
 NO_ID = (1 << 63) - 1
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -114,14 +129,16 @@ class Block:
         np.maximum.at(high, self.place, self.ids[self.owner])
         return self.triggers | (low != high).astype(np.uint64)
 
-    def dictionary(self, shared: np.ndarray, buckets: int):
+    def dictionary(self, shared: np.ndarray, hot: np.ndarray, buckets: int):
         """For phrases whose trigger is ``shared``: by phrase its places (document,
-        first window), and (bucket, bytes, least id) of each, bucket by bucket."""
+        first window), and ((bucket, whether its trigger is hot), bytes, least id)
+        of each, bucket by bucket."""
         at: dict[bytes, list[tuple[int, int]]] = {}
-        bucket: dict[bytes, int] = {}
+        bucket: dict[bytes, tuple[int, bool]] = {}
         rows = np.flatnonzero(shared[self.place]) if len(shared) else np.zeros(0, np.int64)
         numbers = _bucket(self.triggers[self.place[rows]], buckets)
-        for first, last, doc, number in zip(self.first[rows].tolist(), self.last[rows].tolist(), self.owner[rows].tolist(), numbers.tolist(), strict=True):
+        keys = zip(numbers.tolist(), hot[self.place[rows]].tolist() if len(rows) else [], strict=True)
+        for first, last, doc, number in zip(self.first[rows].tolist(), self.last[rows].tolist(), self.owner[rows].tolist(), keys, strict=True):
             phrase = self.data[first : last + self.window]
             found = at.get(phrase)
             if found is None:
@@ -204,7 +221,7 @@ def _pack(docs: DataFrame, key: str, column: str, block_bytes: int) -> DataFrame
     return docs.select(F.col(key).cast("long"), column).mapInArrow(run, "block long, ids binary, sizes binary, data binary, n long")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES, most: int = HOT, fan: int = FAN) -> DataFrame:
     """key, n_bytes, spans (array of removed start and end, in bytes) and kept
     (the remaining bytes) of every row."""
     if not TRIGGER + 8 <= window <= 79:
@@ -213,11 +230,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
     blocks = cut(_pack(docs, key, column, block_bytes))
     total = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // block_bytes)
+    supers = max(1, -(-total // (block_bytes * fan)))
     part_schema = "bucket long, block long, data binary"
+    step_schema = "kind int, super long, bucket long, block long, data binary"
 
     def part(bucket: list[int], block: list[int], data: list[bytes]) -> pa.Table:
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "block": pa.array(block, pa.int64()), "data": pa.array(data, pa.binary())})
 
+    def steps(rows: list[tuple[int, int, int, int, bytes]]) -> pa.Table:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "super", "bucket", "block", "data"])
+
     def opened(row: pa.Table) -> Block:
         return Block(*(row.column(c)[0].as_py() for c in ("ids", "sizes", "data")), window)
 
@@ -238,65 +262,109 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
         flat = np.concatenate(arrays)
         shared, values = (flat & np.uint64(1)).astype(bool), flat >> np.uint64(1)
         order = np.argsort(values)
-        same = np.flatnonzero(values[order][1:] == values[order][:-1])
-        shared[order[same]] = shared[order[same + 1]] = True
-        parts = np.split(shared, np.cumsum([len(a) for a in arrays])[:-1])
-        return part(group.column("bucket").to_pylist(), group.column("block").to_pylist(), [np.packbits(p).tobytes() for p in parts])
+        # in how many blocks each trigger is
+        heads = np.flatnonzero(np.concatenate([[True], values[order][1:] != values[order][:-1]])) if len(values) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([heads, [len(values)]]))
+        held = np.empty(len(values), np.int64)
+        held[order] = np.repeat(times, times)
+        ends = np.cumsum([len(a) for a in arrays])[:-1]
+        bits = zip(np.split(shared | (held > 1), ends), np.split(held > most, ends), strict=True)
+        return part(group.column("bucket").to_pylist(), group.column("block").to_pylist(), [np.packbits(a).tobytes() + np.packbits(b).tobytes() for a, b in bits])
 
     answers = cut(blocks.select("block", "ids", "sizes", "data").mapInArrow(name, part_schema).groupBy("bucket").applyInArrow(common, part_schema))
 
-    def known(block: Block, group: pa.Table) -> np.ndarray:
-        """Which of the block's triggers are shared, from the answers of all buckets."""
+    def known(block: Block, group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the block's triggers are shared, and which are hot, from the
+        answers of all buckets."""
         rows = group.filter(group.column("kind").to_numpy() == 0).sort_by("bucket") if group.num_rows else group
         said = dict(zip(rows.column("bucket").to_pylist(), rows.column("data").to_pylist(), strict=True))
-        bits = [np.unpackbits(np.frombuffer(said[b], np.uint8), count=len(v)) for b, v in split(block.triggers)]
-        return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+        both = [(np.frombuffer(said[b], np.uint8).reshape(2, -1), len(v)) for b, v in split(block.triggers)]
+        read = lambda n: np.concatenate([np.unpackbits(bits[n], count=size) for bits, size in both]).astype(bool) if both else np.zeros(0, bool)
+        return read(0), read(1)
+
+    def packed(phrases: list[bytes], ids: list[int]) -> bytes:
+        head = np.array([len(phrases), *map(len, phrases)], np.uint32).tobytes()
+        return zstandard.ZstdCompressor(level=3).compress(head + np.array(ids, np.int64).tobytes() + b"".join(phrases))
+
+    def unpacked(data: bytes) -> tuple[list[bytes], np.ndarray]:
+        data = zstandard.decompress(data)
+        n = int.from_bytes(data[:4], "little")
+        ends = 4 + 12 * n + np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)
+        return [data[a:b] for a, b in zip([4 + 12 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)], np.frombuffer(data[4 + 4 * n : 4 + 12 * n], np.int64)
+
+    def numbered(rows: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """The dictionary of the rows: distinct phrases with their numbers, the
+        number and least id of each entry, the first document of each phrase, and
+        where the entries of each row end."""
+        number: dict[bytes, int] = {}
+        entry, least, ends = [], [], [0]
+        for row in rows:
+            phrases, ids = unpacked(row)
+            entry += [number.setdefault(t, len(number)) for t in phrases]
+            least.append(ids)
+            ends.append(len(entry))
+        places, ids = np.array(entry, np.int64), np.concatenate(least)
+        first = np.full(len(number), NO_ID)
+        np.minimum.at(first, places, ids)
+        return number, places, ids, first, ends
+
+    def every(phrases) -> np.ndarray:
+        return (np.uint64(1) << np.array([len(t) - window + 1 for t in phrases], np.uint64)) - np.uint64(1)
+
+    def judged(rows: list[bytes]) -> list[bytes]:
+        """For each row the bits of its phrases' windows that an earlier document has."""
+        number, entry, least, first, ends = numbered(rows)
+        bits = np.where(least > first[entry], every(number)[entry], earlier(list(number), first, window)[entry])
+        return [bits[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = opened(left)
-        by: dict[int, tuple[list[bytes], list[int]]] = {}
-        for bucket, phrase, least in block.dictionary(known(block, right), buckets)[1]:
-            texts, ids = by.setdefault(bucket, ([], []))
+        block, number = opened(left), left.column("block")[0].as_py()
+        by: dict[tuple[int, bool], tuple[list[bytes], list[int]]] = {}
+        for key, phrase, least in block.dictionary(*known(block, right), buckets)[1]:
+            texts, ids = by.setdefault(key, ([], []))
             texts.append(phrase)
             ids.append(least)
-        pack = zstandard.ZstdCompressor(level=3).compress
-        rows = [pack(np.array([len(t), *map(len, t)], np.uint32).tobytes() + np.array(i, np.int64).tobytes() + b"".join(t)) for t, i in by.values()]
-        return part(list(by), left.column("block").to_pylist() * len(by), rows)
-
-    def judge(group: pa.Table) -> pa.Table:
-        texts: list[bytes] = []
-        ids, ends = [], [0]
-        for packed in group.column("data").to_pylist():
-            data = zstandard.decompress(packed)
-            n = int.from_bytes(data[:4], "little")
-            sizes = np.frombuffer(data, np.uint32, n, 4)
-            ids.append(np.frombuffer(data[4 + 4 * n : 4 + 12 * n], np.int64))
-            at = 4 + 12 * n
-            for size in sizes.tolist():
-                texts.append(data[at : at + size])
-                at += size
-            ends.append(len(texts))
-        # the dictionary: distinct phrases, each with the first document of all blocks
-        number: dict[bytes, int] = {}
-        entry = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
-        least = np.concatenate(ids)
-        first = np.full(len(number), NO_ID)
-        np.minimum.at(first, entry, least)
-        whole = (np.uint64(1) << np.array([len(t) - window + 1 for t in number], np.uint64)) - np.uint64(1)
-        bits = np.where(least > first[entry], whole[entry], earlier(list(number), first, window)[entry])
-        return part(group.column("bucket").to_pylist(), group.column("block").to_pylist(), [bits[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)])
+        group = (number * 0x9E3779B97F4A7C15 >> 32 & 0x7FFFFFFF) % supers
+        return steps([(0, group if hot else -1, bucket, number, packed(*held)) for (bucket, hot), held in by.items()])
+
+    def first_step(group: pa.Table) -> pa.Table:
+        """Buckets of common triggers are judged; of hot ones the phrases of some
+        blocks are folded, and the rows are kept for the way back."""
+        data, blocks_of = group.column("data").to_pylist(), group.column("block").to_pylist()
+        bucket, which = group.column("bucket")[0].as_py(), group.column("super")[0].as_py()
+        if which < 0:
+            return steps([(1, -1, bucket, b, bits) for b, bits in zip(blocks_of, judged(data), strict=True)])
+        number, _, _, first, _ = numbered(data)
+        order = sorted(number)
+        return steps([(2, which, bucket, which, packed(order, [int(first[number[t]]) for t in order])), *[(3, which, bucket, b, d) for b, d in zip(blocks_of, data, strict=True)]])
+
+    def hot_step(group: pa.Table) -> pa.Table:
+        return steps([(4, w, group.column("bucket")[0].as_py(), w, bits) for w, bits in zip(group.column("super").to_pylist(), judged(group.column("data").to_pylist()), strict=True)])
+
+    def back_step(left: pa.Table, right: pa.Table) -> pa.Table:
+        """From the answer for the folded phrases to those of each block."""
+        data = left.column("data").to_pylist()
+        number, entry, least, first, ends = numbered(data)
+        said = np.empty(len(number), np.uint64)
+        said[[number[t] for t in sorted(number)]] = np.frombuffer(right.column("data")[0].as_py(), np.uint64)
+        bits = np.where(least > first[entry], every(number)[entry], said[entry])
+        return part([left.column("bucket")[0].as_py()] * len(data), left.column("block").to_pylist(), [bits[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)])
 
     stage = [blocks.select("block", "ids", "sizes", "data").groupBy("block"), answers.withColumn("kind", F.lit(0))]
-    sent = stage[0].cogroup(stage[1].groupBy("block")).applyInArrow(send, part_schema)
-    judged = sent.groupBy("bucket").applyInArrow(judge, part_schema).withColumn("kind", F.lit(1))
+    sent = stage[0].cogroup(stage[1].groupBy("block")).applyInArrow(send, step_schema)
+    done = cut(sent.groupBy("bucket", "super").applyInArrow(first_step, step_schema))
+    hot_said = done.where("kind = 2").groupBy("bucket").applyInArrow(hot_step, step_schema)
+    # folded phrases travel in byte order, so that both steps agree on their numbers
+    spread = done.where("kind = 3").groupBy("bucket", "super").cogroup(hot_said.groupBy("bucket", "super")).applyInArrow(back_step, part_schema)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         block = opened(left)
-        at, order = block.dictionary(known(block, right), buckets)
-        rows = right.filter(right.column("kind").to_numpy() == 1) if right.num_rows else right
-        said = {b: np.frombuffer(d, np.uint64) for b, d in zip(rows.column("bucket").to_pylist(), rows.column("data").to_pylist(), strict=True)}
+        at, order = block.dictionary(*known(block, right), buckets)
+        rows = right.filter(right.column("kind").to_numpy() > 0) if right.num_rows else right
+        keys = zip(rows.column("bucket").to_pylist(), (k == 4 for k in rows.column("kind").to_pylist()), strict=True)
+        said = {b: np.frombuffer(d, np.uint64) for b, d in zip(keys, rows.column("data").to_pylist(), strict=True)}
         gone = np.zeros(len(block.data) + 1, np.int32)
-        seen: dict[int, int] = {}
+        seen: dict[tuple[int, bool], int] = {}
         for bucket, phrase, least in order:
             n = seen[bucket] = seen.get(bucket, -1) + 1
             bits, count = int(said[bucket][n]), len(phrase) - window + 1
@@ -324,7 +392,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({key: pa.array(a, pa.int64()), "n_bytes": pa.array(b, pa.int64()), "spans": pa.array(c, span), "kept": pa.array(d, pa.binary())})
 
-    replies = stage[1].unionByName(judged)
+    replies = stage[1].unionByName(done.where("kind = 1").drop("super")).unionByName(spread.withColumn("kind", F.lit(4)))
     return stage[0].cogroup(replies.groupBy("block")).applyInArrow(apply, f"`{key}` long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 

@@ -50,6 +50,9 @@ def test_equals_plain_definition(spark):
     rows += [(500, rows[3][1]), (501, rows[3][1][:-4]), (502, None), (None, rows[5][1]), (503, ""), (504, "a" * 300), (505, "a" * 200), (506, "ab" * 90), (507, prose(12000)), (7, rows[3][1])]
     df = spark.createDataFrame([(t, i, 1) for i, t in rows], "text string, doc_id long, block int").repartition(3)
     assert found(repeats.remove_repeats(df, block_bytes=3000)) == plain(rows)
+    # hot triggers: all that more than one block has, then those of more than four, folded two blocks at a time
+    for most, fan in ((1, 2), (4, 2), (1, 1000)):
+        assert found(repeats.remove_repeats(df, block_bytes=700, most=most, fan=fan)) == plain(rows)
 
 
 def test_empty_table(spark):
