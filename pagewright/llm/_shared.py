@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut, shared_folder
+
+__all__ = ["cut", "joined_by_size", "labelled_texts", "pieces", "shared_folder", "small_batches", "table", "texts", "training_rows"]
+
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
 #: bytes of text that a classifier learns from, whole texts
 TRAIN_BYTES = 64 << 20
+#: rows of one key that may meet in one task
+HOT = 100_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -24,31 +28,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Where that
-    is unset, as in tests, one of this machine serves if this machine is all
-    there is; on a cluster it's an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = _own_folder()
-    return folder.rstrip("/")
-
-
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="pagewright-")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder all machines share and read it from
-    there: lineage ends, and a lost executor loses nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def joined_by_size(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n", hot: int = HOT) -> DataFrame:
+    """``rows`` joined to ``counted``, which has one row for each key with the
+    number ``n`` of its rows. Keys of over ``hot`` rows are broadcast - there are
+    at most ``1 / hot`` times as many as rows - so that the rows of such a key
+    stay where they are and no task gets them all; the others meet by key."""
+    large = F.broadcast(counted.where(F.col(n) > hot))
+    rest = rows.join(large.select(*on), on, "left_anti").join(counted.where(F.col(n) <= hot), on)
+    return rows.join(large, on).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -17,7 +17,9 @@ with a state machine that holds back an unfinished character.
 
 Defined cases: null text is empty text; empty text gives no ids; ids null
 decode to empty bytes; ids outside the vocabulary raise ``KeyError``; texts of
-any length are taken whole.
+any length are taken whole; repeated rows are coded each; an empty table gives
+no row; columns named like the results (``ids``, ``decoded``, ``decoded_text``)
+are replaced, all others are kept.
 """
 
 from __future__ import annotations

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import HOT, cut, joined_by_size
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", hot: int = HOT) -> DataFrame:
     """(node, root): for every node of an edge the least node it reaches.
 
     Each round joins every node to the least neighbour twice: first the larger
     neighbours of a node (large star), then the smaller ones (small star), till
     each node is tied to its root alone.  Rounds grow with the logarithm of the
-    longest path, and each is written to the shared checkpoint folder.  Edges
+    longest path, and each is written to the shared checkpoint folder; a node of
+    over ``hot`` neighbours doesn't bring them to one task.  Edges
     may repeat, run in either direction or tie a node to itself; edges with a
     null end are ignored.  No edge gives no row."""
     now = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
@@ -23,12 +24,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = now.where("u <> v")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
         # large star: neighbours above u go to u's least
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined_by_size(both.where("v > u"), least, ["u"], hot=hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its lower neighbours go to the least of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined_by_size(large, low, ["u"], hot=hot)
         now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:

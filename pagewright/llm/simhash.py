@@ -15,7 +15,8 @@ ever listed, and none is left out.
 Defined cases: null text is empty text; texts of no word have fingerprint zero
 and are linked to each other like any others; repeated rows are kept, each
 with its class; a null doc_id stands in a class but never names one (a class
-of null ids only has component_id null); other columns are ignored.
+of null ids only has component_id null); long texts are counted in pieces of
+fixed size; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, pieces, small_batches, table, texts
+from ._shared import HOT, cut, joined_by_size, pieces, small_batches, table, texts
 from .components import components
 
 BLOCK = 2048
@@ -92,7 +93,7 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int,
     return out
 
 
-def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(a, b) over distinct fingerprints ``fp``: links whose classes are those of
     all pairs within ``radius`` bits."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("kept")) for i, m in enumerate(masks(radius))])
@@ -100,7 +101,7 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     shared = keys.groupBy("t", "kept").agg(F.count("*").alias("n")).where("n > 1")
     # a bucket of n nodes is dealt into ceil(n / block) parts; part pair (i, j) is one group
     parts = F.ceil(F.col("n") / block).cast("int")
-    member = keys.join(shared, ["t", "kept"]).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    member = joined_by_size(keys, shared, ["t", "kept"], hot=hot).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
     other = F.explode(F.expr("sequence(0, parts - 1)")).alias("q")
     dealt = member.select("t", "kept", "fp", "p", other).select("t", "kept", "fp", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p")
     # small groups travel packed: one row holds the nodes of one part

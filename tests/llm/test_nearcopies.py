@@ -46,7 +46,7 @@ def test_parts_of_a_group_give_the_same_classes(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(some_texts())], "k int, text string")
     nodes = nearcopies.sketches(df, "text", "k")
     sets = nearcopies.sets_of(nodes.join(df, "k"), "text")
-    whole, dealt = ({r.node: r.root for r in components.components(nearcopies.links(nearcopies.groups(nodes, n, m), sets)).collect()} for n, m in ((2048, 4 << 20), (2, 3000)))
+    whole, dealt = ({r.node: r.root for r in components.components(nearcopies.links(nearcopies.groups(nodes, n, m, hot), sets)).collect()} for n, m, hot in ((2048, 4 << 20, 100_000), (2, 3000, 2)))
     assert whole == dealt
 
 

@@ -50,8 +50,9 @@ def test_links_give_the_classes_of_all_pairs(spark):
     values = sorted(set(values))
     signed = [int(np.uint64(v).view(np.int64)) for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    for block in (2048, 5):  # 5: buckets are dealt into many parts
-        found = {r.node: r.root for r in components.components(simhash.links(fps, 3, block)).collect()}
+    # 5: buckets are dealt into many parts; 3: keys of over three rows are broadcast
+    for block, hot in ((2048, 100_000), (5, 3)):
+        found = {r.node: r.root for r in components.components(simhash.links(fps, 3, block, hot), hot=hot).collect()}
         group = classes(values, 3)
         for i, j in itertools.combinations(range(len(values)), 2):
             same = found.get(signed[i], i) == found.get(signed[j], j) and signed[i] in found
@@ -69,5 +70,6 @@ def test_rows_nulls_and_repeats(spark):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 500), (600, 601), (None, 3)], "a int, b int")
-    got = {r.node: r.root for r in components.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(201)}, 500: 500, 600: 600, 601: 600}
+    for hot in (100_000, 1):
+        got = {r.node: r.root for r in components.components(edges, hot=hot).collect()}
+        assert got == {**{i: 0 for i in range(201)}, 500: 500, 600: 600, 601: 600}
