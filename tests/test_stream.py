@@ -1,5 +1,7 @@
 """The stream gives what the batch gives."""
 
+import pandas as pd
+
 from pagewright import catalogue
 from pagewright.operators import traces
 from pagewright.streaming import scopes
@@ -18,3 +20,30 @@ def test_stream_equals_batch(spark, tmp_path):
     last = {(r.run_id, r.scope_id): (r.total_tokens, r.llm_calls) for r in spark.table("updates").collect()}
     want = {(r.run_id, r.scope_id): (r.total_tokens, r.llm_calls) for r in traces.scope_usage(events).collect()}
     assert last == want
+
+
+class Group:
+    """A run's state without a stream."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.get, self.wait = False, False, None, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutDuration(self, millis):
+        self.wait = millis
+
+
+def test_state_goes_after_its_time():
+    event = {"run_id": 1, "seq": 1, "kind": "model_end", "name": None, "call_id": None, "parent_ids": None, "input_tokens": 2, "output_tokens": 1, "total_tokens": 3, "answer": None}
+    group = Group()
+    list(scopes.advance((1,), iter([pd.DataFrame([event])]), group, 10, 1000))
+    assert group.exists and group.wait == 1000
+    (out,) = scopes.advance((1,), iter([pd.DataFrame([event | {"seq": 2}, event | {"seq": 3, "kind": "finalize", "answer": "a"}])]), group, 10, 1000)
+    assert group.wait == 10 and out.total_tokens.tolist() == [6]
+    group.hasTimedOut = True
+    assert list(scopes.advance((1,), iter([]), group, 10, 1000)) == [] and not group.exists
