@@ -327,22 +327,32 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
         group = (number * 0x9E3779B97F4A7C15 >> 32 & 0x7FFFFFFF) % supers
         return steps([(0, group if hot else -1, bucket, number, packed(*held)) for (bucket, hot), held in by.items()])
 
-    def first_step(group: pa.Table) -> pa.Table:
-        """Buckets of common triggers are judged; of hot ones the phrases of some
-        blocks are folded, and the rows are kept for the way back."""
-        data, blocks_of = group.column("data").to_pylist(), group.column("block").to_pylist()
-        bucket, which = group.column("bucket")[0].as_py(), group.column("super")[0].as_py()
+    def of(group: pa.Table) -> tuple[int, int]:
+        return group.column("bucket")[0].as_py(), group.column("super")[0].as_py()
+
+    def judge_step(group: pa.Table) -> pa.Table:
+        """Buckets of common triggers are judged at once."""
+        bucket, which = of(group)
+        if which >= 0:
+            return part([], [], [])
+        return part([bucket] * group.num_rows, group.column("block").to_pylist(), judged(group.column("data").to_pylist()))
+
+    def fold_step(group: pa.Table) -> pa.Table:
+        """Of hot triggers the phrases of some blocks become one row."""
+        bucket, which = of(group)
         if which < 0:
-            return steps([(1, -1, bucket, b, bits) for b, bits in zip(blocks_of, judged(data), strict=True)])
-        number, _, _, first, _ = numbered(data)
+            return steps([])
+        number, _, _, first, _ = numbered(group.column("data").to_pylist())
         order = sorted(number)
-        return steps([(2, which, bucket, which, packed(order, [int(first[number[t]]) for t in order])), *[(3, which, bucket, b, d) for b, d in zip(blocks_of, data, strict=True)]])
+        return steps([(2, which, bucket, which, packed(order, [int(first[number[t]]) for t in order]))])
 
     def hot_step(group: pa.Table) -> pa.Table:
         return steps([(4, w, group.column("bucket")[0].as_py(), w, bits) for w, bits in zip(group.column("super").to_pylist(), judged(group.column("data").to_pylist()), strict=True)])
 
     def back_step(left: pa.Table, right: pa.Table) -> pa.Table:
         """From the answer for the folded phrases to those of each block."""
+        if not right.num_rows:
+            return part([], [], [])
         data = left.column("data").to_pylist()
         number, entry, least, first, ends = numbered(data)
         said = np.empty(len(number), np.uint64)
@@ -352,10 +362,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
 
     stage = [blocks.select("block", "ids", "sizes", "data").groupBy("block"), answers.withColumn("kind", F.lit(0))]
     sent = stage[0].cogroup(stage[1].groupBy("block")).applyInArrow(send, step_schema)
-    done = cut(sent.groupBy("bucket", "super").applyInArrow(first_step, step_schema))
-    hot_said = done.where("kind = 2").groupBy("bucket").applyInArrow(hot_step, step_schema)
+    # one exchange serves all three, and each does its own part of the work
+    grouped = sent.groupBy("bucket", "super")
+    plain_said = grouped.applyInArrow(judge_step, part_schema)
+    hot_said = grouped.applyInArrow(fold_step, step_schema).groupBy("bucket").applyInArrow(hot_step, step_schema)
     # folded phrases travel in byte order, so that both steps agree on their numbers
-    spread = done.where("kind = 3").groupBy("bucket", "super").cogroup(hot_said.groupBy("bucket", "super")).applyInArrow(back_step, part_schema)
+    spread = grouped.cogroup(hot_said.groupBy("bucket", "super")).applyInArrow(back_step, part_schema)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         block = opened(left)
@@ -392,7 +404,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", column: str = "text", w
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({key: pa.array(a, pa.int64()), "n_bytes": pa.array(b, pa.int64()), "spans": pa.array(c, span), "kept": pa.array(d, pa.binary())})
 
-    replies = stage[1].unionByName(done.where("kind = 1").drop("super")).unionByName(spread.withColumn("kind", F.lit(4)))
+    replies = stage[1].unionByName(plain_said.withColumn("kind", F.lit(1))).unionByName(spread.withColumn("kind", F.lit(4)))
     return stage[0].cogroup(replies.groupBy("block")).applyInArrow(apply, f"`{key}` long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
