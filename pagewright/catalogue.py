@@ -585,10 +585,11 @@ def channel_concat(spark, d) -> DataFrame:
     """Channels of parallel branches put together (G1), and pages united."""
     a = t(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("v"))
     b = t(spark, d, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("v"))
-    return a.unionByName(b).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_distinct"))
+    both = reduce.channels(a.withColumn("of", F.lit("supplier")), b)
+    return both.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_distinct"), F.count("of").alias("n_suppliers"))
 
 
-CHANNEL_CONCAT = "SELECT key, count(*) AS n, count(DISTINCT v) AS n_distinct FROM (SELECT s_nationkey AS key, s_suppkey AS v FROM supplier UNION ALL SELECT c_nationkey, c_custkey FROM customer) GROUP BY key"
+CHANNEL_CONCAT = "SELECT key, count(*) AS n, count(DISTINCT v) AS n_distinct, count(f) AS n_suppliers FROM (SELECT s_nationkey AS key, s_suppkey AS v, 'supplier' AS f FROM supplier UNION ALL SELECT c_nationkey, c_custkey, NULL FROM customer) GROUP BY key"
 
 
 def previews(spark, d) -> DataFrame:

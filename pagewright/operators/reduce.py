@@ -8,6 +8,7 @@ parts together. Text is compared lower-cased with white space collapsed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,12 @@ def gist(text: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(X.col(text), r"\s+", " ")))
 
 
+def channels(*branches: DataFrame) -> DataFrame:
+    """The outputs of parallel branches put together, row for row; a
+    column that a branch lacks is null there."""
+    return fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+
+
 def _best(rows: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 

@@ -19,7 +19,8 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def paginated(documents: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
     """Plain documents as marked-up markdown (doc_id, text): a marker before each
-    page, and from page 1 on a footer, left on odd and right on even pages."""
+    page, and from page 1 on a footer, left on odd and right on even pages. A
+    document of null text has no page and is left out."""
     rows = F.split("text", "\n", -1)
 
     def page(p: Column) -> Column:
