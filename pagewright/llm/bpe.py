@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from ._shared import pieces, small_batches, table, texts
 
 WINDOW = 1024
-MAX_PAIRS = 400_000
-MAX_WORDS = 500_000
+MAX_PAIRS = 300_000
+MAX_WORDS = 350_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -260,14 +260,7 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text", out: st
     place = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer((path, pattern), shared.value, pattern)
-        kind = pa.list_(pa.field("element", pa.int32(), False))
-        for batch in pieces(batches):
-            ids = [np.array(tokenizer.encode(t), np.int32) for t in texts(batch.column(place))]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends), values).cast(kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
+        return _with_ids(batches, _tokenizer((path, pattern), shared.value, pattern), place, out)
 
     return df.mapInArrow(run, schema)
 
@@ -282,32 +275,63 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     place = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = {v: k for k, v in shared.value.items()}
-        for batch in pieces(batches):
-            raw, text = [], []
-            for row in batch.column(place):
-                stream, got, said = Utf8Stream(), [], []
-                values = row.values
-                for at in range(0, len(values) if values is not None else 0, 4096):
-                    chunk = b"".join(map(parts.__getitem__, values.slice(at, 4096).to_numpy(zero_copy_only=False).tolist()))
-                    got.append(chunk)
-                    said.append(stream.feed(chunk))
-                said.append(stream.feed(b"", True))
-                raw.append(b"".join(got))
-                text.append("".join(said))
-            new = [pa.array(raw, pa.binary()), pa.array(text, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, out, f"{out}_text"])
+        return _with_bytes(batches, {v: k for k, v in shared.value.items()}, place, out)
 
     return df.mapInArrow(run, schema)
 
 
+def coded(df: DataFrame, path: str, pattern: str, column: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``decode(encode(df).drop(column))`` in one pass: the ids are made and
+    decoded in the same Python worker, so a task holds one vocabulary and not two."""
+    small_batches(df.sparkSession)
+    shared = _vocabulary(df, path)
+    df = df.drop(ids, out, f"{out}_text")
+    kept = [f for f in df.schema.fields if f.name != column]
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(out, T.BinaryType()), T.StructField(f"{out}_text", T.StringType())])
+    place = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer((path, pattern), shared.value, pattern)
+        encoded = (b.drop_columns([column]) for b in _with_ids(batches, tokenizer, place, ids))
+        return _with_bytes(encoded, {v: k for k, v in shared.value.items()}, len(kept), out)
+
+    return df.mapInArrow(run, schema)
+
+
+def _with_ids(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer, place: int, out: str) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.field("element", pa.int32(), False))
+    for batch in pieces(batches):
+        ids = [np.array(tokenizer.encode(t), np.int32) for t in texts(batch.column(place))]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(ends), values).cast(kind)
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
+
+
+def _with_bytes(batches: Iterator[pa.RecordBatch], parts: dict[int, bytes], place: int, out: str) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        raw, text = [], []
+        for row in batch.column(place):
+            stream, got, said = Utf8Stream(), [], []
+            values = row.values
+            for at in range(0, len(values) if values is not None else 0, 4096):
+                chunk = b"".join(map(parts.__getitem__, values.slice(at, 4096).to_numpy(zero_copy_only=False).tolist()))
+                got.append(chunk)
+                said.append(stream.feed(chunk))
+            said.append(stream.feed(b"", True))
+            raw.append(b"".join(got))
+            text.append("".join(said))
+        new = [pa.array(raw, pa.binary()), pa.array(text, pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, out, f"{out}_text"])
+
+
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and of decoded bytes."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return digests(decode(encode(docs, path, public_tokenizers.PATTERN).drop("text"), path))
+    return digests(coded(docs, path, public_tokenizers.PATTERN))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -54,3 +54,13 @@ def test_round_trip_of_rows(spark):
     assert bpe.encode(df.where("false"), PATH, public_tokenizers.PATTERN).count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id int, ids array<int>")
     assert bytes(bpe.decode(nothing, PATH).first().decoded) == b""
+
+
+def test_one_pass_equals_both_steps(spark):
+    rows = [(1, "one two  é漢🙂", "x"), (1, "one two  é漢🙂", "x"), (2, None, None), (3, "", "y"), (None, "words " * 3000, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded string").repartition(2)
+    two = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN).drop("text"), PATH)
+    one = bpe.coded(df, PATH, public_tokenizers.PATTERN)
+    assert one.columns == two.columns == ["doc_id", "ids", "decoded", "decoded_text"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert bpe.coded(df.where("false"), PATH, public_tokenizers.PATTERN).count() == 0
