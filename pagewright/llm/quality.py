@@ -43,7 +43,7 @@ from ._shared import pieces, small_batches, table, texts, training_rows
 
 TRAIN_DOCS = 6000
 BITS = 16
-EPOCHS = 500
+EPOCHS = 300
 PENALTY = 1e-4
 SURFACE = 8
 PREFIX = 6
