@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, shared_folder
 
-__all__ = ["cut", "joined_by_size", "labelled_texts", "pieces", "shared_folder", "small_batches", "table", "texts", "training_rows"]
+__all__ = ["cut", "joined_by_share", "joined_by_size", "labelled_texts", "pieces", "shared_folder", "small_batches", "table", "texts", "training_rows"]
 
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
@@ -38,6 +38,17 @@ def joined_by_size(rows: DataFrame, counted: DataFrame, on: list[str], n: str =
     return rows.join(large, on).unionByName(rest)
 
 
+def joined_by_share(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n", share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``counted``, which has one row for each key with the
+    number ``n`` of its rows. Keys that hold over one ``share``-th of all rows are
+    broadcast - there are fewer than ``share`` of them, whatever the input - and
+    their rows stay where they are; the others meet by key."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    large = F.broadcast(counted.where(F.col(n) > total / share))
+    rest = rows.join(large.select(*on), on, "left_anti").join(counted.where(F.col(n) <= total / share), on)
+    return rows.join(large, on).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one test table; only these are read."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import op10_bpe
 from .chat import OP7_SQL, op7_chat
+from .codes import OP11_SQL, op11_codes
 from .decontaminate import op9_decontaminate
 from .language import op4_language
 from .neighbours import op3_neighbours
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
+        "op11_codes": op11_codes,
     }
 
 
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_secrets": OP1_SQL,
         "op6_repeats": OP6_SQL,
         "op7_chat": OP7_SQL,
+        "op11_codes": OP11_SQL,
     }
