@@ -17,6 +17,7 @@ from .repeats import OP6_SQL, op6_repeats
 from .secrets import OP1_SQL, op1_secrets
 from .simhash import op2_simhash
 from .toxicity import op5_toxicity
+from .whitening import op13_whitening
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
         "op11_codes": op11_codes,
+        "op13_whitening": op13_whitening,
     }
 
 

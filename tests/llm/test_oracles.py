@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_quality": {"doc_id": "bigint", "held_out": "boolean", "expected_grade": "double", "tail_over_0": "double", "tail_over_1": "double", "selected": "boolean"},
     "op9_decontaminate": {"doc_id": "bigint", "item_id": "bigint", "start": "int", "end": "int", "edits": "int"},
     "op10_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op13_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
 }
 
 
@@ -27,7 +28,7 @@ def test_equals_sql(spark, name):
 def test_columns(spark, name):
     result = registry.queries()[name](spark, SF)
     assert dict(result.dtypes) == COLUMNS[name]
-    if name not in ("op3_neighbours", "op9_decontaminate"):
+    if name not in ("op3_neighbours", "op9_decontaminate", "op13_whitening"):
         assert result.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
