@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, shared_folder
 
-__all__ = ["cut", "joined_by_share", "joined_by_size", "labelled_texts", "pieces", "shared_folder", "small_batches", "table", "texts", "training_rows"]
+__all__ = ["cut", "joined_by_share", "joined_by_size", "labelled_texts", "pieces", "removed", "shared_folder", "small_batches", "table", "texts", "training_rows"]
 
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
@@ -55,6 +55,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, object]]:
     """(text, label) of at most ``limit`` labelled keys, those of least hash, as
     far as their texts hold ``most_bytes`` together: rows and bytes that reach

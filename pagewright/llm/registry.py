@@ -14,6 +14,7 @@ from .language import op4_language
 from .neighbours import op3_neighbours
 from .quality import op8_quality
 from .repeats import OP6_SQL, op6_repeats
+from .scoring import op12_scoring
 from .secrets import OP1_SQL, op1_secrets
 from .simhash import op2_simhash
 from .toxicity import op5_toxicity
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
         "op11_codes": op11_codes,
+        "op12_scoring": op12_scoring,
         "op13_whitening": op13_whitening,
     }
 

@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_quality": {"doc_id": "bigint", "held_out": "boolean", "expected_grade": "double", "tail_over_0": "double", "tail_over_1": "double", "selected": "boolean"},
     "op9_decontaminate": {"doc_id": "bigint", "item_id": "bigint", "start": "int", "end": "int", "edits": "int"},
     "op10_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op12_scoring": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double", "perplexity": "double"},
     "op13_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
 }
 
