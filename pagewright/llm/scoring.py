@@ -49,10 +49,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ._shared import cut, removed, shared_folder, small_batches, table
 from .language import held_out
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
 #: tokens of the corpus for each bucket of pairs, and of words
-PAIRS = 1 << 21
-WORDS = 1 << 23
+PAIRS = 1 << 20
+WORDS = 1 << 22
 CHAINS = 3
 ROUNDS = 2
 #: strengths of the parent and of the contexts
@@ -224,27 +224,28 @@ class Block:
     def __init__(self, row: dict):
         self.block, self.first, self.keys = row["block"], row["first"], row["keys"]
         self.train = np.array(row["train"], bool)
-        self.lengths, self.tokens = unpacked(row["lengths"]), unpacked(row["tokens"])
+        self.lengths, self.tokens = unpacked(row["lengths"]), unpacked(row["tokens"]).astype(np.int32)
         words = unpacked(row["words"]).view(np.uint64)
         self.words, self.by_hash = words, np.argsort(words)
         ranked = words[self.by_hash]
         number = lambda word: self.by_hash[min(int(np.searchsorted(ranked, word)), len(words) - 1)]
         begin, end, lead = number(BEGIN), number(END), number(np.uint64(row["lead"] & MASK))
         # the end of a text is no context: what follows it begins another
-        context = np.concatenate([[lead], self.tokens[:-1]])
-        self.context = np.where((context == end) & (words[end] == END), begin, context)
+        self.context = np.concatenate([np.array([lead], np.int32), self.tokens[:-1]])
+        if words[end] == END:
+            self.context[self.context == end] = begin
         self.learned = np.repeat(self.train, self.lengths)
 
     def pairs(self) -> None:
         """Distinct pairs: ``keys`` sorted, their context and word, the number of
         each token's pair, and how often each occurs in training."""
         size = len(self.words)
-        found, inverse = np.unique(self.context * size + self.tokens, return_inverse=True)
-        u, w = found // size, found % size
+        found, inverse = np.unique(self.context.astype(np.int64) * size + self.tokens, return_inverse=True)
+        u, w = (found // size).astype(np.int32), (found % size).astype(np.int32)
         keys = mixed(self.words[u] * np.uint64(FACTOR) + self.words[w])
         order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.pair, self.u, self.w = keys[order], u[order], w[order]
         self.at = place[inverse]
         self.count = np.bincount(self.at[self.learned], minlength=len(order)).astype(np.int64)
