@@ -7,11 +7,14 @@ same answers by arithmetic on line numbers and never parses the rendered text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import clean, grep, pages, payloads, reduce, segments, store, traces
+from .lineage import shared_folder
+from .operators import clean, grep, index, pages, payloads, reduce, segments, store, traces
 from .plans import planner
 from .sources import corpus
 from .streaming import scopes
@@ -110,6 +113,32 @@ def grep_regex(spark, d) -> DataFrame:
 GREP_REGEX = f"""WITH {LINES} {_matches("regexp_matches(s, '(?i)ti(on|ng)s? the')", _snippet("(length(regexp_extract(s, '(?is)^(.*?)ti(?:on|ng)s? the', 1)) + 1)", "length(regexp_extract(s, '(?i)ti(?:on|ng)s? the'))"), 5)}"""
 
 
+def _indexed(spark, d) -> str:
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.add(_pages(spark, d), path)
+    return path
+
+
+def grep_indexed(spark, d) -> DataFrame:
+    """Every matching line, by the kept index."""
+    return index.grep_indexed(spark, _indexed(spark, d), "THE TH")
+
+
+GREP_INDEXED = f"WITH {LINES} {_matches("contains(lower(s), 'the th')", _snippet("instr(lower(s), 'the th')", "6"), 10**9)}"
+
+
+def grep_indexed_regex(spark, d) -> DataFrame:
+    return index.grep_indexed(spark, _indexed(spark, d), "ti(?P<x>on|ng)s? the", regex=True)
+
+
+GREP_INDEXED_REGEX = GREP_REGEX.replace("k <= 5", f"k <= {10**9}")
+
+
+def kept_pages(spark, d) -> DataFrame:
+    """What pages each document has, read from the index."""
+    return pages.list_pages(index.pages(spark, _indexed(spark, d)))
+
+
 def grep_page_filter(spark, d) -> DataFrame:
     return grep.grep(_pages(spark, d), "en", pages_filter=[1, 3, 4000], limit=3)
 
@@ -608,6 +637,9 @@ CATALOGUE = {
     "first_n_pages": (first_n_pages, FIRST_N_PAGES),
     "grep_literal": (grep_literal, GREP_LITERAL),
     "grep_regex": (grep_regex, GREP_REGEX),
+    "grep_indexed": (grep_indexed, GREP_INDEXED),
+    "grep_indexed_regex": (grep_indexed_regex, GREP_INDEXED_REGEX),
+    "kept_pages": (kept_pages, LIST_PAGES),
     "grep_page_filter": (grep_page_filter, GREP_PAGE_FILTER),
     "grep_unmapped_filter": (grep_unmapped_filter, GREP_UNMAPPED),
     "grep_section": (grep_section, GREP_SECTION),

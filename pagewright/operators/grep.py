@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions import text as X
+from .anchors import containing
 from .pages import QUERY_MARKER, page_map
 
-#: characters of the join key of patterns that hold no whole word
-GRAM = 4
-
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """Lines that can match: not empty, no marker, within a page."""
@@ -37,7 +35,15 @@ def grep(pages: DataFrame, pattern: str, pages_filter: Sequence[int] | None = No
     if pages_filter:
         chosen = page_map(pages).where(F.col("printed_page").isin(*pages_filter)).select("doc_id", "physical_page")
         lines = lines.join(chosen, ["doc_id", "physical_page"], "left_semi")
-    found = _capped(lines.where(F.col("text").rlike(wanted)), ["doc_id"], limit)
+    return matching(lines, wanted, limit)
+
+
+def matching(lines: DataFrame, wanted: str, limit: int | None) -> DataFrame:
+    """The lines that match, with their snippets; the first of each document, or
+    all if there is no limit."""
+    found = lines.where(F.col("text").rlike(wanted))
+    if limit is not None:
+        found = _capped(found, ["doc_id"], limit)
     return found.select("doc_id", "printed_page", "physical_page", "line", X.snippet("text", wanted, SETTINGS.snippet_chars).alias("snippet"))
 
 
@@ -58,36 +64,10 @@ def grep_sections(pages: DataFrame, sections: DataFrame, pattern: str, regex: bo
     return found.select("doc_id", "section_name", "printed_page", "physical_page", "line", X.snippet("text", wanted, SETTINGS.snippet_chars).alias("snippet"))
 
 
-def _grams(text: Column | str, size: int) -> Column:
-    """The distinct runs of ``size`` characters, read in one pass."""
-    return F.array_distinct(F.regexp_extract_all(X.col(text), F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
-
-
-def _containing(lines: DataFrame, wanted: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """``lines`` (with lower-cased ``_l``) joined to the rows of ``wanted`` whose
-    text ``_low`` they contain, as an equi-join on ``on`` and one key.
-
-    A text of three or more words holds its inner words whole, and its key is
-    the longest of these; the key of any other is its first GRAM characters, or
-    all of a shorter one. A line has the keys of its words, and of its runs of
-    characters in the lengths that some key has (at most GRAM lengths)."""
-    words = F.split("_low", " ")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)), lambda w: w != "")
-    longest = F.expr("array_sort(_in, (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end)[0]")
-    keyed = wanted.where("_low is not null and _low <> ''").withColumn("_in", inner)
-    keyed = keyed.withColumn("_key", F.when(F.size("_in") > 0, F.concat(F.lit("w"), longest)).otherwise(F.concat(F.lit("g"), F.substring("_low", 1, GRAM)))).drop("_in")
-    kinds = {(r[0], r[1]) for r in keyed.select(F.substring("_key", 1, 1), F.when(F.startswith("_key", F.lit("g")), F.length("_key") - 1)).distinct().collect()}
-    tagged = lambda kind, keys: F.transform(keys, lambda k: F.concat(F.lit(kind), k))
-    of = [tagged("w", F.array_distinct(F.split("_l", " "))) if kind == "w" else tagged("g", _grams("_l", size)) for kind, size in sorted(kinds, key=str)]
-    each = lines.withColumn("_key", F.explode(F.concat(*of) if of else F.array().cast("array<string>")))
-    return each.join(keyed, [*on, "_key"]).where(F.contains("_l", "_low")).drop("_key")
-
-
 def grep_many(pages: DataFrame, patterns: DataFrame, limit: int = SETTINGS.grep_limit) -> DataFrame:
     """(pattern_id, doc_id, printed_page, physical_page, line) of literal patterns
     (pattern_id, pattern), as an equi-join; there is no bound on their number."""
-    lines = page_lines(pages).withColumn("_l", F.lower("text")).drop("text")
-    found = _containing(lines, patterns.select("pattern_id", F.lower("pattern").alias("_low")))
+    found = containing(pages, patterns.select("pattern_id", F.lower("pattern").alias("_low")))
     return _capped(found, ["pattern_id", "doc_id"], limit).select("pattern_id", "doc_id", "printed_page", "physical_page", "line")
 
 
@@ -98,8 +78,7 @@ def verify_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     documents that are quoted are read, by an equi-join on document and key."""
     asked = quotes.select("quote_id", "doc_id", F.col("printed_page").alias("_asked"), F.lower("quote").alias("_low"))
     cited = pages.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    lines = page_lines(cited).select("doc_id", F.col("printed_page").alias("_p"), "physical_page", F.lower("text").alias("_l"))
-    hits = _containing(lines, asked, ["doc_id"]).groupBy("quote_id", "doc_id", "_asked", "_p", "physical_page").agg(F.lit(1).alias("_one"))
+    hits = containing(cited, asked, scoped=True).groupBy("quote_id", "doc_id", "_asked", F.col("printed_page").alias("_p"), "physical_page").agg(F.lit(1).alias("_one"))
     first = page_map(cited).select("doc_id", F.col("printed_page").alias("_asked"), F.col("physical_page").alias("_first"))
     hits = hits.join(first, ["doc_id", "_asked"], "left")
     seen = hits.groupBy("quote_id").agg(F.bool_or(F.coalesce(F.col("physical_page") == F.col("_first"), F.lit(False))).alias("_here"), F.array_sort(F.collect_set("_p")).alias("pages"))
