@@ -144,9 +144,9 @@ def packed(values: np.ndarray) -> bytes:
     return values.size.to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], size * 8, codec="zstd", asbytes=True), np.uint8)
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    size = int.from_bytes(memoryview(data)[:8], "little")
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], size * 8, codec="zstd"), np.uint8)
     return np.ascontiguousarray(planes.reshape(8, size).T).reshape(-1).view(np.int64)
 
 
@@ -308,9 +308,16 @@ def totals(blocks: DataFrame, buckets: int, keys_and_values: Callable[[dict], tu
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time; packed cells stay where they are."""
+
+    def cell(x):
+        if isinstance(x, pa.BinaryScalar):
+            return x.as_buffer()
+        return [v.as_buffer() for v in x] if isinstance(x, pa.ListScalar) and pa.types.is_binary(x.type.value_type) else x.as_py()
+
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            yield {name: cell(batch.column(name)[i]) for name in batch.schema.names}
 
 
 def _with(blocks: DataFrame, answers: dict[str, DataFrame]) -> DataFrame:
@@ -354,8 +361,8 @@ def tables_drawn(customers: np.ndarray, weight: np.ndarray, chance: np.ndarray,
     order = np.argsort(start, kind="stable")
     edges = np.searchsorted(start[order], np.arange(2, EXACT + 2))
     for c in range(2, EXACT + 1):
-        for a in range(edges[c - 2], edges[c - 1], 1 << 16):
-            at = order[a : min(a + (1 << 16), edges[c - 1])]
+        for a in range(edges[c - 2], edges[c - 1], 1 << 14):
+            at = order[a : min(a + (1 << 14), edges[c - 1])]
             steps = ratios[c] * (weight[at, None] + discount * np.arange(1, c)) * chance[at, None]
             sums = np.cumsum(np.concatenate([np.ones((len(at), 1)), np.cumprod(steps, axis=1)], axis=1), axis=1)
             out[at] = 1 + (sums[:, :-1] < draw[at, None] * sums[:, -1:]).sum(1)
@@ -389,29 +396,30 @@ class Model:
         base = (strength + d * self.tables[turn][chain]) / (self.words + 1)
         return (customers - d * tables + base) / (strength + self.customers[turn][chain])
 
-    def states(self, block: Block, words: list[np.ndarray]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        """By round and chain: probabilities in the parent and tables of the
-        contexts, by word of the block. Round 0 has one table for each dish."""
+    def states(self, block: Block, words: list[np.ndarray], chain: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By round: probabilities in the parent and tables of the contexts, by
+        word of the block. Round 0 has one table for each dish."""
         back = np.empty(len(block.by_hash), np.int64)
         back[block.by_hash] = np.arange(len(back))
-        first = words[0][:, back]
-        out = [[(self.parent(0, c, first[2], (first[2] > 0).astype(np.int64)), first[3]) for c in range(self.chains)]]
+        kinds, followers = words[0][2][back], words[0][3][back]
+        out = [(self.parent(0, chain, kinds, (kinds > 0).astype(np.int64)), followers)]
         for turn, answer in enumerate(words[1:], 1):
-            k, t, r = answer[: 3 * self.chains, back].reshape(3, self.chains, -1)
-            out.append([(self.parent(turn, c, k[c], r[c]), t[c]) for c in range(self.chains)])
+            k, t, r = (answer[side * self.chains + chain][back] for side in range(3))
+            out.append((self.parent(turn, chain, k, r), t))
         return out
 
-    def seated(self, block: Block, counts: np.ndarray, states: list, turns: int) -> np.ndarray:
-        """Tables of the block's pairs by chain after ``turns`` rounds."""
+    def seated(self, block: Block, counts: np.ndarray, states: list[tuple[np.ndarray, np.ndarray]], turns: int, chain: int) -> np.ndarray:
+        """Tables of the block's pairs after ``turns`` rounds of one chain."""
         d = self.discounts[1]
         many = np.flatnonzero(counts > 1)
-        u, w = block.u[many], block.w[many]
-        out = np.tile(np.minimum(counts, 1), (self.chains, 1))
+        u, w, customers, seeds = block.u[many], block.w[many], counts[many], block.pair[many]
+        held = np.ones(len(many), np.int64)
         for turn in range(1, turns + 1):
-            for chain in range(self.chains):
-                chance, tables = states[turn - 1][chain]
-                weight = STRENGTHS[1] + d * np.maximum(tables[u] - out[chain, many], 0)
-                out[chain, many] = tables_drawn(counts[many], weight, chance[w], d, block.pair[many], turn * self.chains + chain)
+            chance, tables = states[turn - 1]
+            weight = STRENGTHS[1] + d * np.maximum(tables[u] - held, 0)
+            held = tables_drawn(customers, weight, chance[w], d, seeds, turn * self.chains + chain)
+        out = np.minimum(counts, 1)
+        out[many] = held
         return out
 
 
@@ -474,9 +482,11 @@ def _scored(blocks: DataFrame, kind: str, chains: int, rounds: int) -> DataFrame
             n = len(block.words)
             counts, owned = _matrix(row["pairs"], 2)
             mine = owned.astype(bool)
-            states = model.states(block, [_matrix(row[f"words{i}"], columns(i)) for i in range(turn)])
-            seats = model.seated(block, np.where(mine, counts, 0), states, turn)[:, mine]
-            sums = [np.bincount(side[mine], seats[c], n) for side in (block.w, block.u) for c in range(chains)]
+            answered = [_matrix(row[f"words{i}"], columns(i)) for i in range(turn)]
+            sums = [None] * (2 * chains)
+            for c in range(chains):
+                seats = model.seated(block, np.where(mine, counts, 0), model.states(block, answered, c), turn, c)[mine]
+                sums[c], sums[chains + c] = (np.bincount(side[mine], seats, n) for side in (block.w, block.u))
             return block.words[block.by_hash], np.stack(sums)[:, block.by_hash].astype(np.int64)
 
         def parents(keys: np.ndarray, sums: np.ndarray, turn: int = turn) -> tuple[np.ndarray, list[int]]:
@@ -498,26 +508,27 @@ def _scored(blocks: DataFrame, kind: str, chains: int, rounds: int) -> DataFrame
             block.pairs()
             counts = _matrix(row["pairs"], 2)[0]
             answered = [_matrix(row[f"words{i}"], columns(i)) for i in range(rounds + 1)]
-            states = model.states(block, answered)
-            seats = model.seated(block, counts, states, rounds)
             seen, customers = np.empty((2, len(block.words)), np.int64)
             seen[block.by_hash], customers[block.by_hash] = answered[0][0], answered[0][1]
             d, strength = model.discounts[1], STRENGTHS[1]
             chance = np.zeros(len(counts))
-            for c, (parent, tables) in enumerate(states[rounds]):
-                chance += np.maximum(counts - d * seats[c], 0) + (strength + d * tables[block.u]) * parent[block.w]
+            for c in range(chains):
+                states = model.states(block, answered, c)
+                chance += np.maximum(counts - d * model.seated(block, counts, states, rounds, c), 0)
+                parent, tables = states[rounds]
+                chance += (strength + d * tables[block.u]) * parent[block.w]
+            del answered, states
             chance /= model.chains * (strength + customers[block.u])
-            logs = np.log10(chance)[block.at]
-            base = np.log10((seen + 1) / (model.tokens + model.words + 1))[block.tokens]
             starts = np.cumsum(block.lengths) - block.lengths
+            sums = lambda values, of: np.add.reduceat(values[of], starts)
             one = [
                 pa.array(block.first + np.arange(len(starts)), pa.int64()),
                 pa.array(row["keys"], key_type),
                 pa.array(block.train),
                 pa.array(block.lengths),
-                pa.array(np.add.reduceat((seen > 0)[block.tokens].astype(np.int64), starts)),
-                pa.array(np.add.reduceat(base, starts)),
-                pa.array(np.add.reduceat(logs, starts)),
+                pa.array(sums((seen > 0).astype(np.int64), block.tokens)),
+                pa.array(sums(np.log10((seen + 1) / (model.tokens + model.words + 1)), block.tokens)),
+                pa.array(sums(np.log10(chance), block.at)),
             ]
             yield pa.RecordBatch.from_arrays(one, names=["name", "key", "learned", "n_tokens", "n_known", "base_score", "score"])
 
