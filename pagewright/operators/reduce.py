@@ -1,8 +1,8 @@
 """Reduction of typed findings: segments to sections, sections to chapters.
 
 Element operators work on flat tables (one row for an element, with the keys of
-its group), so a group of any size is aggregated in parts; ``reduced`` puts the
-parts together. Text is compared lower-cased with white space collapsed.
+its group), so a group of any size is aggregated in parts; ``records`` puts all
+lists of a record together. Text is compared lower-cased with white space collapsed.
 """
 
 from __future__ import annotations
@@ -95,37 +95,48 @@ def merge_contradictions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     of the same description the statements and quotes are united, in order."""
     grouped = rows.groupBy(*keys, gist("description").alias("_g")).agg(
         F.min("description").alias("description"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("statements", "supporting_quotes"))))).alias("_p"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("statements", "supporting_quotes"))))).alias("_p"),
     )
     return grouped.withColumn("statements", F.col("_p.statements")).withColumn("supporting_quotes", F.col("_p.supporting_quotes")).drop("_g", "_p")
 
 
-def merge_entities(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Entities (name, aliases) that share a name or alias, directly or over
-    others, become one: the longest name, all others as sorted aliases.
+def entity_labels(entities: DataFrame) -> DataFrame:
+    """(_k, me, label) of entities (_k, the group as one struct; me; all, the
+    spellings): entities of a group that share a spelling, directly or over
+    others, have the same label, the least ``me`` among them.
 
     Names spread to the least label through shared names until nothing changes;
     each round is a few aggregations whose result is written to the shared
-    folder, and groups are never gathered in one task. Null keys are groups
-    like others."""
-    base = rows.select(*keys, "name", F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_all"))
-    entity = base.groupBy(*keys, gist("name").alias("label")).agg(F.array_distinct(F.flatten(F.collect_list("_all"))).alias("_all"))
-    link = entity.select(*keys, F.col("label").alias("me"), F.explode("_all").alias("spelling")).withColumn("key", gist("spelling")).distinct()
-    label = entity.select(*keys, F.col("label").alias("me"), "label")
+    folder, and groups are never gathered in one task. As the group is a struct,
+    null keys within it are equal to each other."""
+    link = entities.select("_k", "me", F.explode("all").alias("spelling")).select("_k", "me", gist("spelling").alias("key")).distinct()
+    label = link.select("_k", "me", F.col("me").alias("label")).distinct()
     last = None
     while True:
-        by_key = link.join(label, [*keys, "me"]).groupBy(*keys, "key").agg(F.min("label").alias("label"))
-        near = link.join(by_key, [*keys, "key"]).groupBy(*keys, "me").agg(F.min("label").alias("label"))
+        by_key = link.join(label, ["_k", "me"]).groupBy("_k", "key").agg(F.min("label").alias("label"))
+        near = link.join(by_key, ["_k", "key"]).groupBy("_k", "me").agg(F.min("label").alias("label"))
         # and on to the label of that label, so that rounds follow the logarithm of a chain
-        over = near.select(*keys, F.col("me").alias("label"), F.col("label").alias("_far"))
-        label = cut(near.join(over, [*keys, "label"], "left").select(*keys, "me", F.least("label", "_far").alias("label")))
+        over = near.select("_k", F.col("me").alias("label"), F.col("label").alias("_far"))
+        label = cut(near.join(over, ["_k", "label"], "left").select("_k", "me", F.least("label", "_far").alias("label")))
         mark = label.agg(F.count("*"), F.sum(F.xxhash64("me", "label").cast("decimal(38,0)"))).first()
         if mark == last:
-            break
+            return label
         last = mark
-    spelled = link.join(label, [*keys, "me"]).groupBy(*keys, "label").agg(F.collect_set("spelling").alias("_s"))
+
+
+def merge_entities(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Entities (name, aliases) that share a name or alias, directly or over
+    others, become one: the longest name, all others as sorted aliases.
+
+    Null keys are groups like others; an entity without a name goes by its first
+    alias, one without either is none; an empty table gives no row."""
+    spelled = F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda s: s.isNotNull() & (gist(s) != ""))
+    base = rows.select(F.struct(*keys).alias("_k"), F.array_distinct(spelled).alias("all")).where(F.size("all") > 0).withColumn("me", gist(F.get("all", F.lit(0))))
+    label = entity_labels(base)
+    spelling = base.select("_k", "me", F.explode("all").alias("spelling")).distinct()
+    grouped = spelling.join(label, ["_k", "me"]).groupBy("_k", "label").agg(F.collect_set("spelling").alias("_s"))
     best = F.array_max(F.transform("_s", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
-    return spelled.withColumn("name", best).select(*keys, "name", F.array_sort(F.filter("_s", lambda s: s != F.col("name"))).alias("aliases"))
+    return grouped.withColumn("name", best).select("_k.*", "name", F.array_sort(F.filter("_s", lambda s: s != F.col("name"))).alias("aliases"))
 
 
 def enumerated(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -157,27 +168,40 @@ def error_digest(errors: Column | str) -> Column:
 TEXTS = ("topics", "salient_quotes", "notable_other")
 
 
-def reduce_sections(analyses: DataFrame, quotes: int = QUOTES) -> DataFrame:
-    """Segment analyses to section records (D1, D3, D4, D6-D10, D17). Of the
-    distinct quotes of a record the first ``quotes`` stay: its salient ones;
-    topics and other notable texts all stay."""
+def section_bases(analyses: DataFrame) -> DataFrame:
+    """What a section record has beside its lists."""
     named = analyses.withColumn("section_name", F.coalesce("section_name", F.lit(""))).withColumn("_at", F.struct("seg_no"))
-    records = named.groupBy("doc_id", "section_name").agg(
+    return named.groupBy("doc_id", "section_name").agg(
         F.coalesce(F.min_by("chapter_name", "seg_no"), F.lit("")).alias("chapter_name"),
         _pages().alias("pages"),
         _ordered("seg_id").alias("segment_ids"),
         *_merged(),
     )
-    return _with_texts(records, named, ["doc_id", "section_name"], quotes)
+
+
+def chapter_bases(sections: DataFrame) -> DataFrame:
+    """What a chapter record has beside its lists."""
+    named = sections.withColumn("chapter_name", F.coalesce("chapter_name", F.lit(""))).withColumn("_at", section_place())
+    return named.groupBy("doc_id", "chapter_name").agg(_pages().alias("pages"), _ordered("section_name").alias("section_names"), *_merged())
+
+
+def section_place() -> Column:
+    """Sections stand by their least page, those without pages last."""
+    return F.struct(F.coalesce(F.array_min("pages"), F.lit(1_000_000_000)).alias("page"), F.col("section_name"))
+
+
+def reduce_sections(analyses: DataFrame, quotes: int = QUOTES) -> DataFrame:
+    """Segment analyses to section records (D1, D3, D4, D6-D10, D17). Of the
+    distinct quotes of a record the first ``quotes`` stay: its salient ones;
+    topics and other notable texts all stay."""
+    named = analyses.withColumn("section_name", F.coalesce("section_name", F.lit(""))).withColumn("_at", F.struct("seg_no"))
+    return _with_texts(section_bases(analyses), named, ["doc_id", "section_name"], quotes)
 
 
 def reduce_chapters(sections: DataFrame, quotes: int = QUOTES) -> DataFrame:
-    """Section records to chapter records (D2, D3, D5, D7-D10, D17); sections
-    stand by their least page, those without pages last."""
-    least = F.coalesce(F.array_min("pages"), F.lit(1_000_000_000))
-    named = sections.withColumn("chapter_name", F.coalesce("chapter_name", F.lit(""))).withColumn("_at", F.struct(least.alias("page"), F.col("section_name")))
-    records = named.groupBy("doc_id", "chapter_name").agg(_pages().alias("pages"), _ordered("section_name").alias("section_names"), *_merged())
-    return _with_texts(records, named, ["doc_id", "chapter_name"], quotes)
+    """Section records to chapter records."""
+    named = sections.withColumn("chapter_name", F.coalesce("chapter_name", F.lit(""))).withColumn("_at", section_place())
+    return _with_texts(chapter_bases(sections), named, ["doc_id", "chapter_name"], quotes)
 
 
 def _pages() -> Column:
