@@ -73,7 +73,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     named = drawn.where("_y = _z").select("_k", "_y")
     found = docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).join(_least_keys(named, limit), "_k")
     found = found.groupBy("_k", "_y", "_h").agg(F.min("_t").alias("_t"), F.max("_t").alias("_u")).where("_t = _u")
-    return _bounded(found, most_bytes)
+    return _bounded(found, most_bytes, limit)
 
 
 def labelled_texts(docs: DataFrame, key: str, text: str, label: str, limit: int, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, object]]:
@@ -88,14 +88,16 @@ def _least_keys(keys: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(keys.withColumn("_h", F.xxhash64(F.col("_k").cast("string"))).orderBy("_h", "_k").limit(limit))
 
 
-def _bounded(found: DataFrame, most_bytes: int, most_rows: int | None = None) -> list[tuple[str, object]]:
-    """Rows by hash as long as the sum of their bytes is within the bound; the
-    window sees the chosen rows only and may spill."""
-    order = Window.orderBy("_h", "_y", "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = found.select("_t", "_y", "_h").withColumn("_b", F.sum(F.octet_length("_t").cast("long")).over(order)).where(F.col("_b") <= most_bytes)
-    if most_rows is not None:
-        held = held.orderBy("_h", "_y", "_t").limit(most_rows)
-    return [(r[0], r[1]) for r in held.select("_t", "_y").collect()]
+def _bounded(found: DataFrame, most_bytes: int, most_rows: int) -> list[tuple[str, object]]:
+    """Rows by hash as long as the sum of their bytes is within the bound. Names of
+    rows - hash, label, digest and bytes of the text - are cut to ``most_rows``
+    first, so that no text moves before it is chosen, whatever a key holds."""
+    named = found.select("_t", "_y", "_h", F.xxhash64("_t").alias("_x"), F.octet_length("_t").cast("long").alias("_b"))
+    first = named.select("_h", "_y", "_x", "_b").orderBy("_h", "_y", "_x").limit(most_rows)
+    order = Window.orderBy("_h", "_y", "_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = first.withColumn("_b", F.sum("_b").over(order)).where(F.col("_b") <= most_bytes).drop("_b")
+    chosen = named.join(F.broadcast(held), ["_h", "_y", "_x"]).select("_h", "_y", "_x", "_t").collect()
+    return [(r[3], r[1]) for r in sorted(chosen, key=lambda r: r[:3])]
 
 
 def texts(column: pa.Array) -> list[str]:

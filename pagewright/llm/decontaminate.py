@@ -248,8 +248,8 @@ def _chunks(items: DataFrame, item: str, item_text: str, chunk: int) -> list[Dat
 
 
 def _shared_items(part: DataFrame):
-    """One part of the items, as a broadcast."""
-    rows = [(r[0], r[1]) for r in part.collect() for _ in range(r[2])]
+    """One part of the distinct items with their number of rows, as a broadcast."""
+    rows = [tuple(r) for r in part.collect()]
     return part.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])))
 
 
@@ -275,15 +275,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str =
 
     def one(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready = Items(shared.value)
+            rows = shared.value
+            ready = Items([(k, t) for k, (_, t, _) in enumerate(rows)])
             for batch in pieces(batches):
                 found = [(n, *f) for n, t in enumerate(texts(batch.column(1))) for f in ready.search(t)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 keys = batch.column(0).take(pa.array(columns[0], pa.int64()))
-                rest = [pa.array(columns[1], ids)] + [pa.array(c, pa.int32()) for c in columns[2:]]
-                yield pa.RecordBatch.from_arrays([keys, *rest], names=[key, item, "start", "end", "edits"])
+                rest = [pa.array([rows[k][0] for k in columns[1]], ids)] + [pa.array(c, pa.int32()) for c in columns[2:]]
+                rest.append(pa.array([rows[k][2] for k in columns[1]], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *rest], names=[key, item, "start", "end", "edits", "_times"])
 
-        return docs.mapInArrow(run, schema)
+        # an item of several rows is found as often, but searched for once
+        found = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_times", T.LongType())]))
+        return found.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times")
 
     return reduce(DataFrame.unionByName, _passes(_chunks(items, item, item_text, chunk), one))
 
@@ -296,7 +300,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, column: str = "text", item:
 
     def one(docs: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready = Items(shared.value)
+            ready = Items([(i, t) for i, t, _ in shared.value])
             for batch in pieces(batches):
                 yield batch.filter(pa.array([not ready.search(t) for t in texts(batch.column(place))], pa.bool_()))
 

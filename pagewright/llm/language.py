@@ -23,12 +23,12 @@ like the results replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +43,7 @@ VECTOR = 8
 STEPS = 400
 BATCH = 96
 RATE = 0.01
-HAS_LETTER = re.compile(r"[^\W\d_]").search
+HAS_LETTER = regex.compile(r"\p{L}").search
 
 
 @dataclass

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import HOT, cut, joined_by_size, pieces, small_batches, table, texts
+from ._shared import HOT, cut, joined_by_share, joined_by_size, pieces, small_batches, table, texts
 from .components import components
 
 BLOCK = 2048
@@ -132,11 +132,11 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK, hot: int = HOT) -
 def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row for each document: key, fp, component_id (the least key of its class)."""
     marked = cut(fingerprints(docs, key, column, shingle))
-    nodes = cut(marked.groupBy("fp").agg(F.min(key).alias("least")))
+    nodes = cut(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     classes = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     named = nodes.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")).join(named, "root").select("fp", "component_id"))
-    return marked.join(ids, "fp")
+    ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")).join(named, "root").select("fp", "n", "component_id"))
+    return joined_by_share(marked, ids, ["fp"]).drop("n")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

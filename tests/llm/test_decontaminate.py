@@ -87,3 +87,12 @@ def test_equal_and_long_items_are_dealt_in_measured_parts(spark):
     parts = [p.collect() for p in decontaminate._chunks(items, "item_id", "text", 100)]
     assert sorted((r.i, r.n) for p in parts for r in p) == [(1, 5), (2, 1), *((n, 1) for n in range(3, 60))]
     assert all(len(p) <= 1 or sum(len(r.t) for r in p) <= 100 for p in parts)
+
+
+def test_items_on_many_rows_are_found_as_often(spark):
+    item = "a passage of some words that no other text would hold"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)] * 3000 + [(8, item), (None, item)], "item_id long, text string")
+    got = decontaminate.leaks(docs, items).groupBy("doc_id", "item_id").count().collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 7, 3000), (1, 8, 1), (1, None, 1)]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, items).collect()] == [2]

@@ -23,3 +23,10 @@ def test_bytes_are_bounded(spark):
     docs = spark.createDataFrame([(n, "x" * 100, "en") for n in range(20)], "doc_id long, text string, lang string")
     assert len(training_rows(docs, docs, "doc_id", "text", "lang", 20, 550)) == 5
     assert len(labelled_texts(docs.withColumn("text", docs.doc_id.cast("string")), "doc_id", "text", "lang", 20, 0)) == 0
+
+
+def test_one_key_of_many_texts_is_cut_before_its_texts_move(spark):
+    rows = [(1, f"text {i} " + "x" * 1000, "en") for i in range(3000)] + [(2, "zwei", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    got = labelled_texts(docs, "doc_id", "text", "lang", 50, 20_000)
+    assert 1 <= len(got) <= 20 and got == labelled_texts(docs.repartition(2), "doc_id", "text", "lang", 50, 20_000)
