@@ -9,6 +9,8 @@ from pagewright.operators import payloads, reduce, store, traces
 from pagewright.plans import planner
 from pagewright.streaming import scopes
 
+from .test_stream import State
+
 
 def got(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
@@ -105,12 +107,12 @@ def test_batch_equals_the_state_machine(spark):
     batch = {(r.run_id, r.scope_id): (r.kind, r.input_tokens, r.output_tokens, r.total_tokens, r.llm_calls) for r in traces.scope_usage(events).collect()}
     want = {}
     for run in range(12):
-        state = scopes.fresh()
+        state = scopes.Run(scopes.FRESH, *(scopes.Kept(State()) for _ in range(3)))
         for r in rows:
             if r.run_id == run:
-                scopes.step(state, r.asDict())
-        want |= {(run, scope): (k, i, o, t, n) for scope, (k, i, o, t, n) in state["scopes"].items()}
-        assert traces.final_answers(events.where(f"run_id = {run}")).first().final_answer == state["answer"]
+                state.take(r.asDict())
+        want |= {(run, scope): tuple(x[:5]) for scope, x in state.scopes.held.items() if x}
+        assert traces.final_answers(events.where(f"run_id = {run}")).first().final_answer == state.answer
     assert batch == want
     totals = {r.run_id: r.total_tokens for r in traces.run_totals(traces.scope_usage(events)).collect()}
     assert totals[0] == sum(v[3] for (run, _), v in want.items() if run == 0)
