@@ -54,8 +54,16 @@ def _with_grams(wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [sorted(set(G.of_text(t, min(G.SIZE, len(t))))) for t in batch.column("_low").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(each, pa.list_(pa.int64()))], names=[*batch.schema.names, "_grams"])
+            texts = batch.column("_low")
+            found = list(G.of_lines(texts))
+            short = [(i, g) for i, t in enumerate(texts.to_pylist()) if len(t) < G.SIZE for g in G.of_text(t, len(t))]
+            grams = np.concatenate([g for g, _ in found] + [np.array([g for _, g in short], np.int64)])
+            owner = np.concatenate([o for _, o in found] + [np.array([i for i, _ in short], np.int64)])
+            order = np.lexsort((grams, owner))
+            grams, owner = grams[order], owner[order]
+            first = (np.diff(owner, prepend=-1) != 0) | (np.diff(grams, prepend=0) != 0)
+            ends = np.searchsorted(owner[first], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[first]))], names=[*batch.schema.names, "_grams"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
     return wanted.mapInArrow(run, f"{kinds}, _grams array<long>")
@@ -120,12 +128,18 @@ def _passing(lines: DataFrame, bloom: np.ndarray, sizes: Sequence[int]) -> DataF
     return lines.mapInArrow(run, schema)
 
 
+def kept(pages: DataFrame) -> DataFrame:
+    """What a search needs of the pages, split once and written."""
+    return cut(pages.select("doc_id", "printed_page", "physical_page", "lines"))
+
+
 def containing(pages: DataFrame, wanted: DataFrame, scoped: bool = False) -> DataFrame:
     """The columns of ``wanted``, with the place (doc_id, printed_page,
     physical_page, line) of each line that holds ``_low``, letter case aside;
     ``scoped`` texts are looked for in the document ``doc_id`` they name.
 
-    A null or empty text is held by no line; equal texts are found each; texts
+    The pages are read twice, to count grams and to find lines, so they should be
+    kept ones. A null or empty text is held by no line; equal texts are found each; texts
     for which nothing is there, and empty tables, give no row."""
     asked = wanted.where("_low is not null and _low <> ''").withColumn("_scope", F.xxhash64("doc_id") if scoped else F.lit(0).cast("long"))
     lines = _lines(pages, scoped)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions import text as X
-from .anchors import containing
+from .anchors import containing, kept
 from .pages import QUERY_MARKER, page_map
 
 
@@ -67,7 +67,7 @@ def grep_sections(pages: DataFrame, sections: DataFrame, pattern: str, regex: bo
 def grep_many(pages: DataFrame, patterns: DataFrame, limit: int = SETTINGS.grep_limit) -> DataFrame:
     """(pattern_id, doc_id, printed_page, physical_page, line) of literal patterns
     (pattern_id, pattern), as an equi-join; there is no bound on their number."""
-    found = containing(pages, patterns.select("pattern_id", F.lower("pattern").alias("_low")))
+    found = containing(kept(pages), patterns.select("pattern_id", F.lower("pattern").alias("_low")))
     return _capped(found, ["pattern_id", "doc_id"], limit).select("pattern_id", "doc_id", "printed_page", "physical_page", "line")
 
 
@@ -77,7 +77,7 @@ def verify_quotes(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     order (J15). A quote is looked for within one line, letter case aside; only
     documents that are quoted are read, by an equi-join on document and key."""
     asked = quotes.select("quote_id", "doc_id", F.col("printed_page").alias("_asked"), F.lower("quote").alias("_low"))
-    cited = pages.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    cited = kept(pages.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"))
     hits = containing(cited, asked, scoped=True).groupBy("quote_id", "doc_id", "_asked", F.col("printed_page").alias("_p"), "physical_page").agg(F.lit(1).alias("_one"))
     first = page_map(cited).select("doc_id", F.col("printed_page").alias("_asked"), F.col("physical_page").alias("_first"))
     hits = hits.join(first, ["doc_id", "_asked"], "left")
