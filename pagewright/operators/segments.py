@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..config import SETTINGS
 from ..functions import text as X
+from .intervals import in_ranges
 from .pages import printed_pages, strip_footer
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -26,12 +27,12 @@ def toc_ranges(toc: DataFrame, pages: DataFrame) -> DataFrame:
 
 def section_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, toc_no, section_name, chapter_name, printed_page, pos, text) for
-    every page of a section in text order; an equi-join on exploded ranges (C1,
-    C2, H25). ``pages`` is of the ingest grammar."""
+    every page of a section in text order; an equi-join by bins, whatever numbers
+    the contents hold (C1, C2, H25). ``pages`` is of the ingest grammar."""
     last = Window.partitionBy("doc_id", "page_number").orderBy(F.desc("pos"))
     shown = pages.withColumn("text", F.first("text").over(last))
-    each = ranges.withColumn("printed_page", F.explode(F.sequence("start_page", "end_page")))
-    return each.join(shown.where("printed_page is not null").select("doc_id", "printed_page", "pos", "text"), ["doc_id", "printed_page"])
+    points = shown.where("printed_page is not null").select("doc_id", "printed_page", "pos", "text")
+    return in_ranges(points, ranges, ["doc_id"], "printed_page", "start_page", "end_page")
 
 
 def section_text(ranges: DataFrame, pages: DataFrame) -> DataFrame:

@@ -118,6 +118,20 @@ def saved_records(spark, d) -> DataFrame:
 SAVED_RECORDS = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0"
 
 
+def stored_reads(spark, d) -> DataFrame:
+    """Three saves of customers by two keys, of which the second changes
+    some; the records of three keys, each read from its bucket."""
+    c, path, keys = t(spark, d, "customer").withColumn("doc_id", F.col("c_custkey") % 7), _scratch(spark, "store"), ["doc_id", "c_custkey"]
+    store.save(c.select(*keys, "c_name", "c_mktsegment"), path, keys, buckets=16)
+    store.save(c.where("c_custkey % 10 = 1").select(*keys, F.upper("c_name").alias("c_name"), "c_nationkey"), path, keys)
+    store.save(c.where("c_custkey = 2").select(*keys, F.lit("gone").alias("c_mktsegment")), path, keys)
+    return fold(DataFrame.unionByName, [store.read_key(spark, path, doc_id=k % 7, c_custkey=k) for k in (2, 11, 12, 10**9)])
+
+
+STORED_READS = """SELECT c_custkey % 7 AS doc_id, c_custkey, CASE WHEN c_custkey = 11 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey = 2 THEN 'gone' ELSE c_mktsegment END AS c_mktsegment,
+CASE WHEN c_custkey = 11 THEN c_nationkey END AS c_nationkey FROM customer WHERE c_custkey IN (2, 11, 12)"""
+
+
 def segment_files(spark, d) -> DataFrame:
     """Segments written, one JSON object a document, and read again."""
     path = _scratch(spark, "segments")
@@ -545,6 +559,7 @@ QUERIES = {
     "planner_catalogue": (planner_catalogue, PLANNER_CATALOGUE),
     "work_progress": (work_progress, WORK_PROGRESS),
     "saved_records": (saved_records, SAVED_RECORDS),
+    "stored_reads": (stored_reads, STORED_READS),
     "segment_files": (segment_files, SEGMENT_FILES),
     "cached_documents": (cached_documents, CACHED_DOCUMENTS),
     "trace_files": (trace_files, TRACE_FILES),
