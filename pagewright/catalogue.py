@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .lineage import shared_folder
-from .operators import clean, grep, index, pages, payloads, reduce, segments, store, traces
+from .operators import clean, contents, grep, index, pages, payloads, reduce, segments, store, traces
 from .plans import planner
 from .sources import corpus
 from .streaming import scopes
@@ -179,6 +179,31 @@ sec AS (SELECT rg.doc_id, toc_no, section_name, chapter_name, list(printed ORDER
 """
 
 
+def toc_extract(spark, d) -> DataFrame:
+    """Contents on the first page, headings in the text of every second page: every
+    seventh page lacks its heading, every fifth has a wrong number, documents of id
+    divisible by 3 count from elsewhere, and page 1 names the section of page 3."""
+    title = lambda p: F.concat(F.lit("Heading about page "), p.cast("string"))
+    stated = lambda p: p + F.when(F.col("doc_id") % 3 == 0, 10).otherwise(0) + F.when(p % 5 == 0, 2).otherwise(0)
+    rows = t(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    rows = rows.withColumn("n", F.ceil(F.size("l") / 12).cast("int"))
+    entry = lambda p: F.concat(title(p), F.when(p % 4 == 1, " ..... ").otherwise(" | "), stated(p).cast("string"))
+
+    def page(p):
+        head = F.when((p % 2 == 1) & (p % 7 != 0), F.concat(F.lit("## "), F.upper(title(p)), F.lit("\n"))).otherwise("")
+        named = F.when((p == 1) & (F.col("n") >= 3), F.concat(title(F.lit(3)), F.lit("\n"))).otherwise("")
+        return F.concat(F.lit("\n{"), p.cast("string"), F.lit("}-----\n"), head, named, F.array_join(F.slice("l", (p - 1) * 12 + 1, F.lit(12)), "\n"), F.lit("\nReport | "), p.cast("string"))
+
+    first = F.concat(F.lit("{0}-----\nContents\n"), F.array_join(F.transform(F.expr("sequence(1, n, 2)"), entry), "\n"))
+    text = F.concat(first, F.array_join(F.transform(F.expr("sequence(1, n)"), page), ""))
+    return contents.toc_extract(pages.doc_pages(rows.select("doc_id", text.alias("text"))), first=1)
+
+
+TOC_EXTRACT = """WITH e AS (SELECT doc_id, unnest(range(1, (len(string_split(text, chr(10))) + 11) // 12 + 1, 2)) AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(p // 2 AS INTEGER) AS pos, 'Heading about page ' || p AS section_name, CAST(p + CASE WHEN p % 7 = 0 AND p % 5 = 0 THEN 2 ELSE 0 END AS INTEGER) AS page_number,
+  CAST(p + CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 0 END + CASE WHEN p % 5 = 0 THEN 2 ELSE 0 END AS INTEGER) AS stated, p % 7 <> 0 AS found FROM e"""
+
+
 def toc_ranges(spark, d) -> DataFrame:
     return segments.toc_ranges(_toc(spark, d), _pages(spark, d))
 
@@ -652,6 +677,7 @@ CATALOGUE = {
     "verify_quotes": (verify_quotes, VERIFY_QUOTES),
     "page_text": (page_text, PAGE_TEXT),
     "clean_images": (clean_images, CLEAN_IMAGES),
+    "toc_extract": (toc_extract, TOC_EXTRACT),
     "toc_ranges": (toc_ranges, TOC_RANGES),
     "section_pages": (section_pages, SECTION_PAGES),
     "section_text": (section_text, SECTION_TEXT),
