@@ -58,7 +58,8 @@ def grep_sections(pages: DataFrame, sections: DataFrame, pattern: str, regex: bo
     pages match nothing (B6, C9)."""
     wanted = X.regex_pattern(pattern) if regex else X.literal_pattern(pattern)
     scope = sections.select("doc_id", "section_name", F.explode("pages").alias("printed_page")).distinct().join(page_map(pages), ["doc_id", "printed_page"])
-    scope = scope.select("doc_id", "section_name", "physical_page").distinct()
+    # the size of exploded lines is misjudged, so neither side is broadcast
+    scope = scope.select("doc_id", "section_name", "physical_page").distinct().hint("merge")
     lines = page_lines(pages).where(F.col("text").rlike(wanted)).join(scope, ["doc_id", "physical_page"])
     found = _capped(lines, ["doc_id", "section_name"], limit)
     return found.select("doc_id", "section_name", "printed_page", "physical_page", "line", X.snippet("text", wanted, SETTINGS.snippet_chars).alias("snippet"))

@@ -48,9 +48,10 @@ def section_text(ranges: DataFrame, pages: DataFrame) -> DataFrame:
 def sections(docs: DataFrame, toc: DataFrame) -> DataFrame:
     """``section_text`` straight from documents: pages, footers and the scopes of
     a document's contents are arrays of its row, so only the contents are
-    gathered and the texts meet them in one join (C1, C2, B8, B9, E2, E12)."""
+    gathered and the texts meet them in one join (C1, C2, B8, B9, E2, E12), by key:
+    texts are never broadcast."""
     entry = F.struct("page_number", "pos", "section_name", "chapter_name")
-    contents = toc.where("page_number is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_toc"))
+    contents = toc.where("page_number is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_toc")).hint("merge")
 
     def scoped(held: Column) -> Column:
         most = F.array_max(F.transform(held, lambda p: p["printed"]))

@@ -17,12 +17,18 @@ from ..operators.grep import page_lines
 from ..operators.pages import page_map
 from . import planner
 
+#: terms of questions that are broadcast
+BROADCAST = 100_000
+
 
 def _evidence(asked: DataFrame, lines: DataFrame, keys: list[str], on: list[str], limit: int) -> DataFrame:
-    """An equi-join on document (or page) and term, counted by line."""
+    """An equi-join on document (or page) and term, counted by line. The terms are
+    broadcast if they are few, by count; else both sides meet by key, as the size
+    of exploded lines is misjudged."""
     terms = asked.select(*dict.fromkeys([*keys, *on]), F.explode(planner.terms("question")).alias("term"))
     each = lines.withColumn("term", F.explode(planner.terms("text")))
-    found = each.join(terms, [*on, "term"]).groupBy(*dict.fromkeys([*keys, "doc_id"]), "printed_page", "physical_page", "line", "text").agg(F.count_distinct("term").alias("score"))
+    side = F.broadcast(terms) if terms.limit(BROADCAST + 1).count() <= BROADCAST else terms.hint("merge")
+    found = each.join(side, [*on, "term"]).groupBy(*dict.fromkeys([*keys, "doc_id"]), "printed_page", "physical_page", "line", "text").agg(F.count_distinct("term").alias("score"))
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "line")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
