@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..operators.grep import page_lines
+from ..operators.grep import matched_lines
 from ..operators.pages import page_map
 from . import planner
 
@@ -21,28 +21,34 @@ from . import planner
 BROADCAST = 100_000
 
 
-def _evidence(asked: DataFrame, lines: DataFrame, keys: list[str], on: list[str], limit: int) -> DataFrame:
-    """An equi-join on document (or page) and term, counted by line. The terms are
-    broadcast if they are few, by count; else both sides meet by key, as the size
-    of exploded lines is misjudged."""
-    terms = asked.select(*dict.fromkeys([*keys, *on]), F.explode(planner.terms("question")).alias("term"))
-    each = lines.withColumn("term", F.explode(planner.terms("text")))
-    side = F.broadcast(terms) if terms.limit(BROADCAST + 1).count() <= BROADCAST else terms.hint("merge")
-    found = each.join(side, [*on, "term"]).groupBy(*dict.fromkeys([*keys, "doc_id"]), "printed_page", "physical_page", "line", "text").agg(F.count_distinct("term").alias("score"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "line")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+def _evidence(asked: DataFrame, pages: DataFrame, keys: list[str], on: list[str], limit: int) -> DataFrame:
+    """An equi-join of pages and questions on document (or page). Lines stay arrays
+    of their page and are scored there; a page gives its best lines only, so what
+    is exploded and ranked is no more than the evidence. The terms are broadcast
+    if they are few, by count; else both sides meet by key."""
+    terms = F.array_distinct(F.flatten(F.collect_list(planner.terms("question")))).alias("_terms")
+    sought = asked.groupBy(*dict.fromkeys([*keys, *on])).agg(terms).where(F.size("_terms") > 0)
+    few = asked.select("question").limit(BROADCAST + 1).agg(F.count("*"), F.sum(F.size(planner.terms("question")))).first()
+    side = F.broadcast(sought) if few[0] <= BROADCAST and (few[1] or 0) <= BROADCAST else sought.hint("merge")
+    score = lambda x: F.size(F.array_intersect(planner.terms(x["text"]), "_terms")).cast("long")
+    each = F.transform("_lines", lambda x: F.struct((-score(x)).alias("score"), x["line"].alias("line"), x["text"].alias("text")))
+    best = F.slice(F.sort_array(F.filter(each, lambda x: x["score"] < 0)), 1, max(limit, 0))
+    met = matched_lines(pages).join(side, on).select(*dict.fromkeys([*keys, "doc_id"]), "printed_page", "physical_page", F.explode(best).alias("_x"))
+    found = met.select("*", F.col("_x.line").alias("line"), F.col("_x.text").alias("text"), (-F.col("_x.score")).alias("score")).drop("_x")
+    # a line that is there twice has one place
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "line", "doc_id", "physical_page", "printed_page", "text")
+    return found.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= limit).dropDuplicates()
 
 
 def lookup(questions: DataFrame, pages: DataFrame, limit: int = SETTINGS.grep_limit) -> DataFrame:
     """The best lines of each question's document. A question may name
     printed pages (column ``pages_filter``: null or empty means all)."""
-    lines = page_lines(pages)
     if "pages_filter" not in questions.columns:
-        return _evidence(questions, lines, ["question_id"], ["doc_id"], limit)
+        return _evidence(questions, pages, ["question_id"], ["doc_id"], limit)
     narrow = questions.where(F.coalesce(F.size("pages_filter"), F.lit(0)) > 0)
     scope = narrow.select("question_id", "doc_id", "question", F.explode("pages_filter").alias("printed_page")).join(page_map(pages), ["doc_id", "printed_page"]).drop("printed_page")
     wide = questions.where(F.coalesce(F.size("pages_filter"), F.lit(0)) <= 0)
-    return _evidence(wide, lines, ["question_id"], ["doc_id"], limit).unionByName(_evidence(scope, lines, ["question_id"], ["doc_id", "physical_page"], limit))
+    return _evidence(wide, pages, ["question_id"], ["doc_id"], limit).unionByName(_evidence(scope, pages, ["question_id"], ["doc_id", "physical_page"], limit))
 
 
 def section_workers(tasks: DataFrame, pages: DataFrame, sections: DataFrame, limit: int = SETTINGS.grep_limit) -> DataFrame:
@@ -50,7 +56,7 @@ def section_workers(tasks: DataFrame, pages: DataFrame, sections: DataFrame, lim
     don't exist or have no page give no line (B16)."""
     scope = tasks.join(sections.select("doc_id", "section_name", F.explode("pages").alias("printed_page")).distinct(), ["doc_id", "section_name"])
     scope = scope.join(page_map(pages), ["doc_id", "printed_page"]).select("question_id", "section_name", "doc_id", F.col("sub_query").alias("question"), "physical_page")
-    return _evidence(scope, page_lines(pages), ["question_id", "section_name"], ["doc_id", "physical_page"], limit)
+    return _evidence(scope, pages, ["question_id", "section_name"], ["doc_id", "physical_page"], limit)
 
 
 def document_agent(questions: DataFrame, chapters: DataFrame) -> DataFrame:

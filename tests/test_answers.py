@@ -49,3 +49,16 @@ def test_files(spark, tmp_path):
     assert corpus.write_traces(rows, str(tmp_path / "t")) and not corpus.write_traces(rows, "nowhere://x")
     upper = corpus.converted(spark, str(tmp_path / "md"), lambda data: data.decode().upper())
     assert upper.first().text == DOC.upper()
+
+
+def test_lines_stay_in_their_page_till_they_are_evidence(spark):
+    docs, found, sections = parts(spark)
+    asked = spark.createDataFrame([(1, 1, "where is capital"), (1, 1, "staff fell"), (2, 1, None), (3, None, "capital")], "question_id int, doc_id int, question string")
+    best = answers.lookup(asked, found.unionByName(found), 2)
+    # repeats of a question's id are one question, repeats of a page one page
+    assert sorted((r.question_id, r.line, r.score) for r in best.collect()) == [(1, 4, 1), (1, 7, 2)]
+    plan = answers.lookup(asked, found, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join", 1)[1].count("Generate explode") == 1
+    tasks = asked.select("question_id", "doc_id", "question").toDF("question_id", "doc_id", "sub_query").join(sections.select("doc_id", "section_name"), "doc_id")
+    plan = answers.section_workers(tasks, found, sections)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(term#" not in plan.split("Join", 1)[1] and "Generate explode(_terms" not in plan
