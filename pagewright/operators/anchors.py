@@ -159,8 +159,9 @@ def containing(pages: DataFrame, wanted: DataFrame, scoped: bool = False) -> Dat
     anchored = cut(keyed.drop("_grams").join(anchor, "_id"))
     passing = cut(_passing(lines, _filter_of(anchored), sizes).withColumn("_at", F.monotonically_increasing_id()))
     on = ["_gram", "doc_id"] if scoped else ["_gram"]
-    met = passing.select("_at", *on[1:], F.explode("_grams").alias("_gram")).join(anchored.select("_id", *on), on).select("_id", "_at")
     named = [c for c in wanted.columns if c != "doc_id"]
+    # the wanted text goes to its lines, and is looked for there: no line's text is repeated for each text it may hold
+    met = passing.select("_at", *on[1:], F.explode("_grams").alias("_gram")).join(anchored.select(*named, *on), on).select(*named, "_at")
     texts = passing.drop("_grams").hint("merge")
-    found = met.join(texts, "_at").join(anchored.select("_id", *named).hint("merge"), "_id")
-    return found.where(F.contains("_l", F.col("_low"))).select(*named, "doc_id", "printed_page", "physical_page", "line")
+    found = met.join(texts, "_at").where(F.contains("_l", F.col("_low")))
+    return found.select(*named, "doc_id", "printed_page", "physical_page", "line")

@@ -110,3 +110,12 @@ def test_item_footers(spark):
     texts = ["12", "Page 7 of 9", "Report | 5 |", "sum 2024 99", "31 March", "99999", "none", "  8  "]
     rows = frame(spark, *texts).select("doc_id", pages.item_footer("text").alias("n")).orderBy("doc_id").collect()
     assert [r.n for r in rows] == [12, 7, 5, 99, 31, None, None, 8]
+
+
+def test_line_texts_meet_candidates_once(spark):
+    docs = spark.createDataFrame([(1, "{0}---\nsome inner words\nno such line")], "doc_id int, text string")
+    patterns = spark.createDataFrame([(1, "inner"), (2, "INNER w"), (3, "absent")], "pattern_id int, pattern string")
+    found = grep.grep_many(pages.doc_pages(docs), patterns)
+    assert got(found, "pattern_id", "line") == [(1, 2), (2, 2)]
+    # one join by gram and one by line; a third would carry the line's text once for each candidate
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
