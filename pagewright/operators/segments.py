@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,31 +47,46 @@ def section_text(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("text", F.array_join(F.transform("_p", lambda x: x["_t"]), "\n\n")).drop("_p").where(F.length("text") > 0)
 
 
+def _scoped(held: Column, shown: Callable[[Column], list[Column]]) -> Column:
+    """The sections of the contents ``_toc`` over the printed pages ``held``, each
+    with what ``shown`` makes of its pages (C1, C2, B8, E2, E12)."""
+    most = F.array_max(F.transform(held, lambda p: p["printed"]))
+
+    def one(e: Column, i: Column) -> Column:
+        ends = F.greatest(e["page_number"], F.coalesce(F.get(F.col("_toc"), i + 1)["page_number"] - 1, most))
+        inside = F.filter(held, lambda p: p["printed"].between(e["page_number"], ends))
+        return X.once(inside, lambda x: F.struct(
+            i.alias("toc_no"), e["section_name"].alias("section_name"), e["chapter_name"].alias("chapter_name"),
+            F.array_distinct(F.transform(x, lambda p: p["printed"])).alias("pages"), *shown(x),
+        ))
+
+    return F.transform("_toc", one)
+
+
+def _contents(toc: DataFrame) -> DataFrame:
+    entry = F.struct("page_number", "pos", "section_name", "chapter_name")
+    return toc.where("page_number is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_toc")).hint("merge")
+
+
 def sections(docs: DataFrame, toc: DataFrame) -> DataFrame:
     """``section_text`` straight from documents: pages, footers and the scopes of
     a document's contents are arrays of its row, so only the contents are
     gathered and the texts meet them in one join (C1, C2, B8, B9, E2, E12), by key:
     texts are never broadcast."""
-    entry = F.struct("page_number", "pos", "section_name", "chapter_name")
-    contents = toc.where("page_number is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_toc")).hint("merge")
-
-    def scoped(held: Column) -> Column:
-        most = F.array_max(F.transform(held, lambda p: p["printed"]))
-
-        def one(e: Column, i: Column) -> Column:
-            ends = F.greatest(e["page_number"], F.coalesce(F.get(F.col("_toc"), i + 1)["page_number"] - 1, most))
-            inside = F.filter(held, lambda p: p["printed"].between(e["page_number"], ends))
-            return X.once(inside, lambda x: F.struct(
-                i.alias("toc_no"), e["section_name"].alias("section_name"), e["chapter_name"].alias("chapter_name"),
-                F.array_distinct(F.transform(x, lambda p: p["printed"])).alias("pages"),
-                F.array_join(F.filter(F.transform(x, lambda p: p["text"]), lambda t: t != ""), "\n\n").alias("text"),
-            ))
+    joined = lambda x: [F.array_join(F.filter(F.transform(x, lambda p: p["text"]), lambda t: t != ""), "\n\n").alias("text")]
+    both = docs.select("doc_id", "text").join(_contents(toc), "doc_id")
+    each = both.select("doc_id", F.explode(X.once(printed_pages("text"), lambda held: _scoped(held, joined))).alias("_s"))
+    return each.select("doc_id", "_s.*").where(F.length("text") > 0)
 
-        return F.transform("_toc", one)
 
-    both = docs.select("doc_id", "text").join(contents, "doc_id")
-    each = both.select("doc_id", F.explode(X.once(printed_pages("text"), scoped)).alias("_s"))
-    return each.select("doc_id", "_s.*").where(F.length("text") > 0)
+def section_scopes(docs: DataFrame, toc: DataFrame) -> DataFrame:
+    """``sections`` without their text, for those who need the pages only: of a
+    document its printed numbers meet the contents, and no text moves."""
+    full = lambda x: [F.exists(x, lambda p: p["full"]).alias("full")]
+    held = F.transform(printed_pages("text"), lambda p: F.struct(p["printed"].alias("printed"), (p["text"] != "").alias("full")))
+    both = docs.select("doc_id", held.alias("_held")).join(_contents(toc), "doc_id")
+    each = both.select("doc_id", F.explode(_scoped(F.col("_held"), full)).alias("_s"))
+    return each.select("doc_id", "_s.*").where("full").drop("full")
 
 
 def chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

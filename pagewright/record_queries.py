@@ -358,7 +358,7 @@ FROM ch JOIN customer ON c_custkey = doc_id WHERE doc_id % 2 = 1 OR regexp_match
 def routed_answers(spark, d) -> DataFrame:
     """Evidence by each question's route, or by the other if that finds nothing."""
     asked = _asked(spark, d).withColumn("question", F.when(F.col("doc_id") % 2 == 0, "why and how: that tion with this from").otherwise("where: that tion with this from"))
-    sections = segments.sections(base._docs(spark, d), base._toc(spark, d)).where("section_name = 'Section 1'").withColumn("summary", F.lit("tion"))
+    sections = segments.section_scopes(base._docs(spark, d), base._toc(spark, d)).where("section_name = 'Section 1'").withColumn("summary", F.lit("tion"))
     found = answers.answers(asked, base._pages(spark, d), sections)
     return _shown(found, "route")
 

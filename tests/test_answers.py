@@ -62,3 +62,32 @@ def test_lines_stay_in_their_page_till_they_are_evidence(spark):
     tasks = asked.select("question_id", "doc_id", "question").toDF("question_id", "doc_id", "sub_query").join(sections.select("doc_id", "section_name"), "doc_id")
     plan = answers.section_workers(tasks, found, sections)._jdf.queryExecution().optimizedPlan().toString()
     assert "(term#" not in plan.split("Join", 1)[1] and "Generate explode(_terms" not in plan
+
+
+def test_sections_are_worked_out_once_and_only_lines_asked_for_move(spark):
+    docs, found, sections = parts(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    asked = spark.createDataFrame([(1, 1, "where is capital"), (2, 1, "why did capital growth change"), (3, 1, "why fell numbers"), (4, 2, "where is nothing")], "question_id int, doc_id int, question string")
+    got = sorted((r.question_id, r.route, r.line) for r in answers.answers(asked, found, sections.mapInPandas(counted, sections.schema)).collect())
+    assert got == [(1, "lookup", 4), (1, "lookup", 8), (2, "reason", 4), (3, "lookup", 7)]
+    assert seen.value == 2
+    moved = answers._lines_with(found, ["capital", "fell"]).collect()
+    assert sorted((r.doc_id, r.physical_page, [(x.line, list(x.terms)) for x in r._lines]) for r in moved) == [(1, 0, []), (1, 1, [(4, ["capital"])]), (1, 2, [(7, ["fell"]), (8, ["capital"])]), (2, 0, [(2, ["capital"])])]
+
+
+def test_many_terms_give_the_same_evidence(spark, monkeypatch):
+    _, found, sections = parts(spark)
+    asked = spark.createDataFrame([(1, 1, "capital numbers staff", [2]), (2, 1, "growth fell", None)], "question_id int, doc_id int, question string, pages_filter array<int>")
+    tasks = sections.selectExpr("1 as question_id", "doc_id", "section_name", "summary as sub_query")
+    evidence = lambda: [sorted(map(tuple, df.collect())) for df in (answers.lookup(asked, found, 2), answers.section_workers(tasks, found, sections, 1))]
+    few = evidence()
+    assert all(few)
+    monkeypatch.setattr(answers, "VOCABULARY", 1)
+    monkeypatch.setattr(answers, "BROADCAST", 0)
+    assert evidence() == few

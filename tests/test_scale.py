@@ -125,3 +125,17 @@ def test_quotes_are_chosen_by_a_parameter(spark):
     assert len(reduce.reduce_sections(df, quotes=100).first().salient_quotes) == 20
     empty = reduce.reduce_sections(df.withColumn("topics", F.lit(None).cast("array<string>"))).first()
     assert empty.topics == []
+
+
+def test_scopes_are_those_of_the_sections_and_no_text_moves(spark):
+    texts = ["{1}---\na\n1 | T\n{2}---\n\n2 | T\n{3}---\nc\n3 | T\n{4}---\nd\n3 | T", "{1}---\n\n1 | T", "{7}---\nno footer", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = [(d, n, f"S{n}", "c", p) for d in range(4) for n, p in enumerate((2, 1, 3, None, 3, 99))]
+    toc = spark.createDataFrame(rows, "doc_id int, pos int, section_name string, chapter_name string, page_number int")
+    columns = ("doc_id", "toc_no", "section_name", "chapter_name", "pages")
+    scopes = segments.section_scopes(docs, toc)
+    assert got(scopes, *columns) == got(segments.sections(docs, toc), *columns) != []
+    node = scopes._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    assert {node.output().apply(i).name() for i in range(node.output().size())} == {"doc_id", "_held", "_toc"}
