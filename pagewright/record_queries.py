@@ -16,7 +16,7 @@ from . import catalogue as base
 from . import retry
 from .config import SETTINGS, Settings
 from .functions import text as X
-from .lineage import shared_folder
+from .lineage import cut, shared_folder
 from .operators import clean, grep, pages, payloads, reduce, segments, store, traces
 from .plans import answers
 from .sources import corpus
@@ -336,7 +336,7 @@ LOOKUP_ANSWERS = f"WITH {base.LINES}, {EVIDENCE} " + BEST.format(keys="", part="
 
 def section_answers(spark, d) -> DataFrame:
     """The best lines of each section; a section that isn't there gives none."""
-    sections = segments.sections(base._docs(spark, d), base._toc(spark, d))
+    sections = cut(segments.section_scopes(base._docs(spark, d), base._toc(spark, d)))
     known = sections.select(F.col("doc_id").alias("question_id"), "doc_id", "section_name", F.lit("that tion with this from").alias("sub_query"))
     lost = known.select("question_id", "doc_id").distinct().select("*", F.lit("nowhere").alias("section_name"), F.lit("that").alias("sub_query"))
     return _shown(answers.section_workers(known.unionByName(lost), base._pages(spark, d), sections, 2), "section_name")
