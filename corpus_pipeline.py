@@ -32,9 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, Jaccard 0.8 or over,
-    every link verified) one row stays: that of least id, null ids last; of
-    rows of different texts under this id the one of least digest."""
+    """Of each class of near copies one row stays: that of least id, null ids last;
+    of rows of different texts under this id the one of least digest. SimHash
+    classes (three bits, as in ``op2``) and MinHash bands give the candidates, and
+    a link is one whose five-word shingles are verified: Jaccard 0.8 or over."""
     # tells rows of different id or text apart, and a null id or text from an empty one
     row = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text").isNull().cast("string"), F.coalesce("text", F.lit("")))))
     rows = docs.select(*COLUMNS, row.alias("_row"))

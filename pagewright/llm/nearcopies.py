@@ -1,10 +1,14 @@
-"""Near copies by word-shingle Jaccard: MinHash bands for candidates, exact sets for links.
-
-A document is the set of its five-word shingles.  ``BANDS`` keys of ``ROWS``
-MinHash values each bring documents together: a pair of similarity s shares no
-key with probability (1 - s**ROWS)**BANDS, which is 3e-6 at 0.8.  Within a group
-that shares a key the whole shingle sets (64-bit hashes) are compared, and only
-pairs at ``LEAST`` or over are links; classes are the connected components.
+"""Near copies: SimHash classes and MinHash bands for candidates, exact sets for links.
+
+A document is the set of its five-word shingles.  Candidates come in two ways.
+SimHash, as in ``simhash``: fingerprints that differ in ``RADIUS`` bits or fewer
+are linked by covering tables, and what is in one class of them is one group.
+This finds copies with few edits whatever their length; a similarity of 0.8 is
+some ten bits apart, beyond any table of such fingerprints.  So ``BANDS`` keys of
+``ROWS`` MinHash values each bring documents together as well: a pair of
+similarity s shares no key with probability (1 - s**ROWS)**BANDS, which is 3e-6
+at 0.8.  Within a group the whole shingle sets (64-bit hashes) are compared, and
+only pairs at ``LEAST`` or over are links; classes are the connected components.
 
 Equal sets are one node from the start.  A large group is dealt into parts of
 bounded rows and bytes, part pairs are compared apart, and each gives a
@@ -27,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import HOT, cut, joined_by_size, pieces, small_batches, texts
+from . import simhash
+from ._shared import HOT, cut, joined_by_share, joined_by_size, pieces, small_batches, texts
 from .components import components
 from .simhash import LOWER, WORDS
 
 SHINGLE = 5
 LEAST = 0.8
+#: bits in which linked fingerprints may differ
+RADIUS = 3
 BANDS = 32
 ROWS = 5
 BLOCK = 1024
@@ -64,18 +71,21 @@ def bands(grams: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, column: str, *others: str) -> DataFrame:
-    """(others, node, size, bands): node names the shingle set, size counts it."""
+    """(others, node, size, fp, bands): node names the shingle set, size counts it,
+    fp is the text's SimHash fingerprint."""
     small_batches(docs.sparkSession)
     docs = docs.select(*others, column)
-    schema = T.StructType([*docs.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in ("node", "size")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in ("node", "size", "fp")), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = [shingles(t) for t in texts(batch.column(len(others)))]
+            held = texts(batch.column(len(others)))
+            sets = [shingles(t) for t in held]
+            prints = np.array([simhash.fingerprint(t) for t in held], np.uint64).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             flat = np.concatenate([bands(s) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keys], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), keys], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -121,9 +131,21 @@ def forest(nodes: list[int], sets: list[np.ndarray], least: float = LEAST) -> li
     return out
 
 
-def groups(nodes: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """(g, node): groups of nodes that share a band key, in parts and part pairs."""
+def simhash_keys(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, size, k): one key for each SimHash class that (node, size, fp) rows
+    have a text in; keys of single fingerprints with a single row are left out."""
+    prints = cut(marked.groupBy("fp").agg(F.count("*").alias("n")))
+    linked = components(simhash.links(prints.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    shared = cut(prints.join(linked, "fp", "left").where("root is not null or n > 1").select("fp", "n", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("k")))
+    return joined_by_share(marked.select("node", "size", "fp"), shared, ["fp"]).select("node", "size", "k").distinct()
+
+
+def groups(nodes: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
+    """(g, node): groups of nodes that share a band key or a key of ``more`` (node,
+    size, k), in parts and part pairs."""
     keys = nodes.select("node", "size", F.explode("bands").alias("k"))
+    if more is not None:
+        keys = keys.unionByName(more)
     shared = keys.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1")
     parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") * 8 / block_bytes), F.lit(1)).cast("int")
     member = joined_by_size(keys.select("k", "node"), shared, ["k"], hot=hot).select("k", "node", parts.alias("parts")).withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int"))
@@ -150,10 +172,10 @@ def links(member: DataFrame, sets: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _roots(nodes: DataFrame, docs: DataFrame, key: str, column: str) -> DataFrame:
+def _roots(nodes: DataFrame, marked: DataFrame, docs: DataFrame, key: str, column: str) -> DataFrame:
     """(node, root) of the nodes that are linked; ``nodes`` holds node, key (of a
-    row with its text), size and bands."""
-    member = cut(groups(nodes))
+    row with its text), size and bands, ``marked`` node, size and fingerprint."""
+    member = cut(groups(nodes, more=cut(simhash_keys(marked))))
     # texts of nodes in a group are read again, one row for each node
     wanted = nodes.select("node", key).join(member.select("node").distinct(), "node", "left_semi")
     held = docs.select(key, column).join(wanted, key).dropDuplicates(["node"])
@@ -165,7 +187,7 @@ def classes(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     different texts apart; any one of the rows that repeat a key is read."""
     marked = cut(sketches(docs, column, key))
     nodes = marked.groupBy("node").agg(F.min(key).alias(key), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    found = cut(_roots(nodes, docs, key, column))
+    found = cut(_roots(nodes, marked.select("node", "size", "fp").distinct(), docs, key, column))
     return marked.select(key, "node").distinct().join(found, "node", "left").select(key, F.coalesce("root", "node").alias("root"))
 
 
@@ -173,8 +195,10 @@ def leaders(docs: DataFrame, key: str, order: list[str], column: str = "text") -
     """(key): of each class the row that comes first by ``order``, then key.
     Copies are folded on the map side before anything is joined."""
     first = F.struct(*order, key)
-    found = sketches(docs, column, key, *order).groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    # texts of one shingle set may differ in words repeated or in order, and so in fingerprint
+    marked = cut(sketches(docs, column, key, *order).groupBy("node", "fp").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    found = marked.groupBy("node").agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = cut(found.withColumn(key, F.col("first")[key]))
-    roots = _roots(nodes, docs, key, column)
+    roots = _roots(nodes, marked, docs, key, column)
     classed = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     return classed.agg(F.min("first").alias("first")).select(F.col("first")[key].alias(key))

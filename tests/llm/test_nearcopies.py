@@ -2,7 +2,7 @@ import itertools
 import random
 
 import corpus_pipeline as pipeline
-from pagewright.llm import components, nearcopies
+from pagewright.llm import components, nearcopies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,3 +65,29 @@ def test_stage_keeps_a_row_of_each_class_whatever_the_ids(spark):
     for n in (1, 4):
         got = pipeline.drop_near_duplicates(spark, df.repartition(n), "").collect()
         assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, "A"), (5, "B"), (None, "C"), (8, None)], key=str)
+
+
+def test_simhash_classes_are_candidates_of_the_stage(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9999)}" for _ in range(2000)]
+    close = edited(rng, base, 2)
+    # the same words with one passage many times over: nearly one fingerprint, other shingles
+    passage = [f"p{n}" for n in range(40)]
+    padded = [[f"{x}{n}" for n in range(60)] + passage * 60 for x in "ab"]
+    held = [" ".join(w) for w in (base, close, *padded)]
+    prints = [simhash.fingerprint(t) for t in held]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 and (prints[2] ^ prints[3]).bit_count() <= 3 and similarity(*padded) < 0.8
+    marked = nearcopies.sketches(spark.createDataFrame(list(enumerate(held)), "k int, text string"), "text", "k")
+    keys = {}
+    for r in nearcopies.simhash_keys(marked).join(marked.select("node", "k").withColumnRenamed("k", "row"), "node").collect():
+        keys.setdefault(r.k, set()).add(r.row)
+    assert sorted(map(sorted, keys.values())) == [[0, 1], [2, 3]]
+    # by SimHash alone the close pair is found, and the pair that only looks alike isn't linked
+    df = marked.join(spark.createDataFrame(list(enumerate(held)), "k int, text string"), "k")
+    member = nearcopies.groups(df.selectExpr("node", "size", "cast(array() as array<long>) as bands"), more=nearcopies.simhash_keys(marked))
+    names = {r.node: r.k for r in marked.collect()}
+    assert [{names[r.a], names[r.b]} for r in nearcopies.links(member, nearcopies.sets_of(df, "text")).collect()] == [{0, 1}]
+    calls, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(held)]
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()} == {0, 2, 3} and calls
