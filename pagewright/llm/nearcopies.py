@@ -11,8 +11,8 @@ at 0.8.  Within a group the whole shingle sets (64-bit hashes) are compared, and
 only pairs at ``LEAST`` or over are links; classes are the connected components.
 
 Equal sets are one node from the start.  A large group is dealt into parts of
-bounded rows and bytes, part pairs are compared apart, and each gives a
-spanning forest of its links only: no group's pairs are ever listed, and none
+bounded rows and bytes, part pairs are compared apart, and each gives only a
+star for each class of its links: no group's pairs are ever listed, and none
 is left out.  Groups of the same members under several keys are compared once.
 
 Defined cases: null text is empty text; words are as in ``simhash``; a text of
@@ -101,8 +101,8 @@ def sets_of(docs: DataFrame, column: str) -> DataFrame:
     return docs.select("node", column).mapInArrow(run, "node long, grams binary")
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """Links of a spanning forest of all pairs whose Jaccard is ``least`` or over.
+def tied(nodes: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """Stars of the classes of all pairs whose Jaccard is ``least`` or over.
     Intersections of all pairs are one product of the 0/1 matrix of nodes and the
     shingles that at least two nodes have, taken slice by slice of the shingles."""
     size, sizes = len(sets), np.array([len(s) for s in sets])
@@ -119,16 +119,15 @@ def forest(nodes: list[int], sets: list[np.ndarray], least: float = LEAST) -> li
         seen = np.zeros((size, SLICE), np.float32)
         seen[owner[part], place[part] - at] = 1
         both += seen @ seen.T
-    group, out = np.arange(size), []
+    group = np.arange(size)
     for i in range(size - 1):
         # in whole numbers of thousandths, so that a similarity of just 0.8 counts
         near = np.flatnonzero(both[i, i + 1 :].astype(np.int64) * 1000 >= round(least * 1000) * (sizes[i] + sizes[i + 1 :] - both[i, i + 1 :].astype(np.int64))) + i + 1
         near = near[group[near] != group[i]]
         while len(near):
-            out.append((nodes[i], nodes[near[0]]))
             group[group == group[near[0]]] = group[i]
             near = near[group[near] != group[i]]
-    return out
+    return simhash.stars(nodes, group)
 
 
 def simhash_keys(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -142,21 +141,24 @@ def simhash_keys(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def groups(nodes: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
     """(g, node): groups of nodes that share a band key or a key of ``more`` (node,
-    size, k), in parts and part pairs."""
+    size, k), in parts and part pairs. Rows may repeat a node."""
     keys = nodes.select("node", "size", F.explode("bands").alias("k"))
     if more is not None:
         keys = keys.unionByName(more)
-    shared = keys.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1")
+    # few keys are shared; written once, they aren't counted again for each use
+    shared = cut(keys.groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("held")).where("n > 1"))
     parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") * 8 / block_bytes), F.lit(1)).cast("int")
     member = joined_by_size(keys.select("k", "node"), shared, ["k"], hot=hot).select("k", "node", parts.alias("parts")).withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = member.select("k", "node", "p", F.explode(F.expr("sequence(0, parts - 1)")).alias("q"))
-    packed = dealt.groupBy("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    packed = dealt.groupBy("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     one = packed.where(F.size("nodes") > 1).select(F.xxhash64("nodes").alias("g"), "nodes").dropDuplicates(["g", "nodes"])
-    return one.select("g", F.explode("nodes").alias("node")).distinct()
+    # groups of one g by chance are compared as one, where a node may stand twice
+    return one.select("g", F.explode("nodes").alias("node"))
 
 
 def links(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): verified links whose classes are those of all pairs within a group."""
+    """(a, b): ties of a node to another of its class; classes are those of the
+    verified links among all pairs within a group."""
     packed = member.join(sets, "node").groupBy("g").agg(F.collect_list(F.struct("node", "grams")).alias("held")).select("held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def links(member: DataFrame, sets: DataFrame) -> DataFrame:
             ends, node, grams = held.offsets.to_numpy(), held.values.field("node"), held.values.field("grams")
             for row in range(batch.num_rows):
                 part = range(ends[row], ends[row + 1])
-                found += forest([node[i].as_py() for i in part], [np.frombuffer(grams[i].as_py(), np.uint64) for i in part])
+                found += tied(node.to_numpy()[ends[row] : ends[row + 1]], [np.frombuffer(grams[i].as_py(), np.uint64) for i in part])
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -173,9 +175,9 @@ def links(member: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _roots(nodes: DataFrame, marked: DataFrame, docs: DataFrame, key: str, column: str) -> DataFrame:
-    """(node, root) of the nodes that are linked; ``nodes`` holds node, key (of a
-    row with its text), size and bands, ``marked`` node, size and fingerprint."""
-    member = cut(groups(nodes, more=cut(simhash_keys(marked))))
+    """(node, root) of the nodes that are linked; ``nodes`` holds node and key (of a
+    row with its text), ``marked`` node, size, fingerprint and bands."""
+    member = cut(groups(marked, more=cut(simhash_keys(marked))))
     # texts of nodes in a group are read again, one row for each node
     wanted = nodes.select("node", key).join(member.select("node").distinct(), "node", "left_semi")
     held = docs.select(key, column).join(wanted, key).dropDuplicates(["node"])
@@ -186,8 +188,9 @@ def classes(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """(key, root): the class of each distinct row key. ``key`` must tell rows of
     different texts apart; any one of the rows that repeat a key is read."""
     marked = cut(sketches(docs, column, key))
-    nodes = marked.groupBy("node").agg(F.min(key).alias(key), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    found = cut(_roots(nodes, marked.select("node", "size", "fp").distinct(), docs, key, column))
+    nodes = marked.groupBy("node").agg(F.min(key).alias(key))
+    prints = marked.groupBy("node", "fp").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    found = cut(_roots(nodes, prints, docs, key, column))
     return marked.select(key, "node").distinct().join(found, "node", "left").select(key, F.coalesce("root", "node").alias("root"))
 
 
@@ -197,8 +200,7 @@ def leaders(docs: DataFrame, key: str, order: list[str], column: str = "text") -
     first = F.struct(*order, key)
     # texts of one shingle set may differ in words repeated or in order, and so in fingerprint
     marked = cut(sketches(docs, column, key, *order).groupBy("node", "fp").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    found = marked.groupBy("node").agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = cut(found.withColumn(key, F.col("first")[key]))
+    nodes = cut(marked.groupBy("node").agg(F.min("first").alias("first")).withColumn(key, F.col("first")[key]))
     roots = _roots(nodes, marked, docs, key, column)
     classed = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     return classed.agg(F.min("first").alias("first")).select(F.col("first")[key].alias(key))

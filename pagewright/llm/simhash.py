@@ -9,7 +9,7 @@ agree on all bits which that table keeps: every such pair meets in some table.
 
 Equal fingerprints are one node from the start.  Within a bucket the nodes are
 compared by blocks of bounded size, so a large bucket is many tasks, and each
-block pair gives only a spanning forest of its links: no bucket's pairs are
+block pair gives only a star for each class of its links: no bucket's pairs are
 ever listed, and none is left out.
 
 Defined cases: null text is empty text; texts of no word have fingerprint zero
@@ -78,24 +78,33 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, size)]
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of all pairs within the radius; left and
+def stars(nodes: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """(least node, node) for all other nodes of a class; ``group`` holds for each
+    node the place of one node of its class. Blocks that see the same class give
+    the same links, so that few rounds are left to do between blocks."""
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, nodes)
+    tied = least[group] != nodes
+    return list(zip(least[group][tied].tolist(), nodes[tied].tolist(), strict=True))
+
+
+def _classes(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Stars of the classes of all pairs within the radius; left and
     right are either the same block or disjoint ones of one bucket."""
     nodes = left if left is right else np.concatenate([left, right])
-    shift, out, group = 0 if left is right else len(left), [], np.arange(len(nodes))
+    shift, group = 0 if left is right else len(left), np.arange(len(nodes))
     for i in range(len(left)):
         near = np.flatnonzero(np.bitwise_count(right ^ left[i]) <= radius) + shift
         near = near[group[near] != group[i]]
         while len(near):
-            out.append((int(nodes[i]), int(nodes[near[0]])))
             group[group == group[near[0]]] = group[i]
             near = near[group[near] != group[i]]
-    return out
+    return stars(nodes.view(np.int64), group)
 
 
 def links(fps: DataFrame, radius: int = 3, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """(a, b) over distinct fingerprints ``fp``: links whose classes are those of
-    all pairs within ``radius`` bits."""
+    """(a, b) over distinct fingerprints ``fp``: ties of a node to another of its
+    class, which give the classes of all pairs within ``radius`` bits."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("kept")) for i, m in enumerate(masks(radius))])
     keys = fps.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.kept")
     shared = keys.groupBy("t", "kept").agg(F.count("*").alias("n")).where("n > 1")
@@ -118,12 +127,12 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK, hot: int = HOT) -
                 p, v = part[ends[row] : ends[row + 1]], value[ends[row] : ends[row + 1]]
                 if len(v) == 2 and i[row] == j[row]:
                     if int(v[0] ^ v[1]).bit_count() <= radius:
-                        found.append((int(v[0]), int(v[1])))
+                        found.append(tuple(v.view(np.int64).tolist()))
                 elif i[row] == j[row]:
-                    found += _forest(v, v, radius)
+                    found += _classes(v, v, radius)
                 else:
-                    found += _forest(v[p == i[row].as_py()], v[p != i[row].as_py()], radius)
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+                    found += _classes(v[p == i[row].as_py()], v[p != i[row].as_py()], radius)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return packed.select("i", "j", "nodes").mapInArrow(run, "a long, b long").distinct()

@@ -91,3 +91,38 @@ def test_simhash_classes_are_candidates_of_the_stage(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda *a, **k: calls.append(1) or plain(*a, **k))
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(held)]
     assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()} == {0, 2, 3} and calls
+
+
+def test_classes_seen_by_many_groups_need_few_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(9999)}" for _ in range(300)]
+        texts += [" ".join(edited(rng, words, n)) for n in (0, 1, 1, 2, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    nodes = nearcopies.sketches(df, "text", "k")
+    edges = nearcopies.links(nearcopies.groups(nodes), nearcopies.sets_of(nodes.join(df, "k"), "text"))
+    # links of one group are stars: what is tied to a lesser node ties no other
+    whole = nearcopies.links(nodes.selectExpr("1L as g", "node"), nearcopies.sets_of(nodes.join(df, "k"), "text")).collect()
+    assert len(whole) == 24 and not {r.a for r in whole} & {r.b for r in whole} and all(r.a < r.b for r in whole)
+    written, plain = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: written.append(1) or plain(df))
+    assert len({r.root for r in components.components(edges).collect()}) == 6 and len(written) <= 2
+    # stars are done at once, and no round is made to see that nothing changes
+    written.clear()
+    star = spark.createDataFrame([(1, 5), (5, 1), (7, 1), (4, 4), (9, 8)], "a long, b long")
+    assert sorted(map(tuple, components.components(star).collect())) == [(1, 1), (4, 4), (5, 1), (7, 1), (8, 8), (9, 8)] and len(written) == 1
+
+
+def test_texts_of_one_set_and_several_fingerprints_are_one_node(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(9999)}" for _ in range(40)]
+    # the same shingles, some of them more often
+    held = [" ".join(base * 2 + base[:4]), " ".join(base * 3 + base[:4]), " ".join(base + base[:20] + base)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(held + held[:1])]
+    marked = nearcopies.sketches(spark.createDataFrame([(i, t) for i, t, *_ in rows], "k int, text string"), "text", "k")
+    nodes = {r.node for r in marked.collect()}
+    found = [tuple(r) for r in nearcopies.groups(marked.unionAll(marked)).collect()]
+    assert len(found) == len(set(found)) and {n for _, n in found} <= nodes
+    got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert 0 in got and 1 not in got
